@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
     n = batch.num_rows
     if not n:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     groups = np.cumsum(lengths) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):

@@ -37,12 +37,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.fingerprints import fingerprint_table
+
+    return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -50,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_fingerprints, op5_packing, op8_near_duplicates, op10_toxicity)}
 
 #: None of these has a full equivalent in SQL that is fast on whole tables.
 ORACLE_SQL: dict[str, str] = {}
