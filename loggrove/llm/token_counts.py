@@ -62,4 +62,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
     # rows that repeat an id and its text would store their count twice
     fresh.groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(stored, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", "content_digest")
+    # a key of its own makes Spark shuffle both sides for the join, so that it can split a text of many copies
+    stored = stored.select(F.substring("content_digest", 1, 32).alias("own"), "n_tokens")
+    return keyed.withColumn("own", F.substring("content_digest", 1, 32)).join(stored.hint("merge"), "own", "left").select("doc_id", "n_bytes", "n_tokens", "content_digest")
