@@ -44,6 +44,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loggrove.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chunks", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.char_length("new_text").cast("long").alias("kept_chars"), F.sha2("new_text", 256).alias("kept_sha256"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.fingerprints import fingerprint_table
 
@@ -56,12 +65,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.decontamination import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loggrove.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("passages")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -69,7 +96,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_fingerprints, op5_packing, op8_near_duplicates, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality,
+        op3_line_dedup,
+        op4_fingerprints,
+        op5_packing,
+        op6_decontamination,
+        op7_warc,
+        op8_near_duplicates,
+        op9_license_scan,
+        op10_toxicity,
+    )
+}
 
 #: None of these has a full equivalent in SQL that is fast on whole tables.
 ORACLE_SQL: dict[str, str] = {}
