@@ -104,7 +104,11 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
 def without_repeated_lines(docs: DataFrame, least_chars: int = 60) -> DataFrame:
     """``docs`` with repeated chunks cut out, columns as they were; ``n_chars``
     follows the text. A document of which nothing is left goes."""
-    found = dedup_lines(docs, least_chars).where("n_removed = 0 or btrim(new_text, ' \t\r\n') != ''")
+    found = dedup_lines(docs, least_chars)
+    # as an array of one row that is filtered: a plain filter would be pushed
+    # below the projections and repeat all their expressions
+    row = F.struct(*[F.col(c) for c in found.columns])
+    found = found.select(F.inline(F.filter(F.array(row), lambda r: (r["n_removed"] == 0) | (F.btrim(r["new_text"], F.lit(AROUND)) != ""))))
     columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("new_text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("new_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
