@@ -14,6 +14,10 @@ from loggrove.operators.ledger import attempt, latest, not_imported
 from loggrove.schemas import LEDGER, conform
 
 
+#: What Spark's binaryFile source gives; a stream must state it.
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The last attempt for each file; none where there is no ledger yet."""
     try:
@@ -34,7 +38,6 @@ def import_new(spark: SparkSession, path: str, ledger: str, checkpoint: str, loa
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
-        # the sink writes no plan of its own, so the content is read once to hash and once to load
         hashed = files.select("path", last_segment(F.col("path")).alias("filename"), F.sha2("content", 256).alias("file_hash"), "content")
         fresh = not_imported(hashed.select("path", "filename", "file_hash"), read_ledger(session, ledger))
         chosen = fresh.groupBy("file_hash").agg(F.min(F.struct("filename", "path")).alias("f")).select("file_hash", "f.filename", "f.path")
@@ -45,5 +48,5 @@ def import_new(spark: SparkSession, path: str, ledger: str, checkpoint: str, loa
         load(hashed.join(F.broadcast(chosen.select("path")), "path", "left_semi"), number)
         conform(attempt(chosen, 2 * number + 1, True), LEDGER).write.mode("append").parquet(ledger)
 
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", 1000).load(path)
+    files = spark.readStream.schema(BINARY_FILE).format("binaryFile").option("maxFilesPerTrigger", 1000).load(path)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
