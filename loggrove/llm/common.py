@@ -67,3 +67,22 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> I
 def no_threads() -> None:
     """One task, one core: libraries must not start threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def filtered(docs: DataFrame, text_column: str, make) -> DataFrame:
+    """The rows of ``docs`` that a mask of their texts keeps; all columns as
+    they are, whatever their names. ``make()`` runs once in each task and gives
+    a function from an Arrow array of texts (null as empty) to booleans; rows
+    with a null text always stay."""
+    at = docs.columns.index(text_column)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                text = part.column(f"c{at}").cast(pa.string())
+                mask = np.asarray(keep(pc.fill_null(text, "")), bool) | np.asarray(pc.is_null(text).to_numpy(zero_copy_only=False), bool)
+                yield part.filter(pa.array(mask))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.llm.common import slices, whole_text
+from loggrove.llm.common import filtered, slices, whole_text
 
 RATE = 1 / 16
 BLOCK_CHARS = 4_000_000
@@ -153,11 +153,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     for block in item_blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared):
+        def make(shared=shared):
             match = ItemMatcher(shared.value, rate)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    yield part.filter(pa.array([not (t and match(t, first_only=True)) for t in part.column("text").to_pylist()], pa.bool_()))
+            return lambda texts: [not match(t, first_only=True) for t in texts.to_pylist()]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filtered(docs, "text", make)
     return docs

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.llm.common import remainder, slices, whole_text
+from loggrove.llm.common import filtered, remainder, slices, whole_text
 from loggrove.llm.labelled import labelled_sample
 
 # Insults, and second-person words of English, French, German and Spanish.
@@ -286,12 +286,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
     """The rows whose score is below ``threshold``, all columns as they were.
     A row with a null text stays, whatever an empty text would score."""
 
-    def run(batches):
+    def make():
         score = model.scorer()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                text = pc.fill_null(part.column("text").cast(pa.string()), "")
-                keep = (score(text) < threshold) | np.asarray(pc.is_null(part.column("text")).to_numpy(zero_copy_only=False))
-                yield part.filter(pa.array(keep))
+        return lambda texts: score(texts) < threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, "text", make)
