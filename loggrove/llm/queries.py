@@ -50,7 +50,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loggrove.llm.line_dedup import dedup_lines
 
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_chunks", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.char_length("new_text").cast("long").alias("kept_chars"), F.sha2("new_text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.char_length("new_text").cast("long").alias("kept_chars"), F.sha2("new_text", 256).alias("kept_sha256"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,5 +112,21 @@ QUERIES = {
     )
 }
 
-#: None of these has a full equivalent in SQL that is fast on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# five hexadecimal digits are twenty bits, or four signs of base 32
+_SIGNS = " || ".join(f"substr('{_BASE32}', CAST(((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) & 31) + 1 AS BIGINT), 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+#: The other operators learn, tokenize, sketch or edit, which SQL cannot state;
+#: tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+ m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_SIGNS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m""",
+    "op8_near_duplicates": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.b, d.doc_id) AS kept
+ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id""",
+}
