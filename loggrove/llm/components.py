@@ -28,9 +28,9 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node of an edge. Edges may
-    repeat or have two equal ends; null ends are left out."""
+    repeat or have two equal ends (such an edge stays and makes its node known);
+    null ends are left out."""
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    # the loop at its smallest node lets a node without partners through
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = _mark(now)
     for _ in range(most_rounds):
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = _joined_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _joined_with_least(large)
         step = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(step.distinct(), "edges")
+        now = written(step.unionByName(now.where("u = v")).distinct(), "edges")
         after = _mark(now)
         if after == before:
             break

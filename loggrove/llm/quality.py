@@ -70,19 +70,27 @@ class ByteNetwork:
         """The mean chunk logit of each text."""
         raw, halves = padded(texts)
         step = 512 * HALF
-        pooled = np.concatenate([self.responses(raw[i : i + step + WIDTH])[: step // STRIDE][: (min(step, len(raw) - i)) // STRIDE].reshape(-1, HALF // STRIDE, FILTERS).max(axis=1) for i in range(0, len(raw), step)])
         ends = np.cumsum(halves)
+        # places from which a filter would reach into the next text
+        over = (ends[:, None] * (HALF // STRIDE) - np.arange(1, WIDTH // STRIDE)).ravel()
+        pooled = []
+        for i in range(0, len(raw), step):
+            r = self.responses(raw[i : i + step + WIDTH])[: min(step, len(raw) - i) // STRIDE]
+            first = i // STRIDE
+            r[over[(over >= first) & (over < first + len(r))] - first] = -np.inf
+            pooled.append(r.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1))
+        pooled = np.concatenate(pooled)
         first = np.ones(len(pooled) - 1, bool)
         first[ends[:-1] - 1] = False  # chunks do not go from one text to the next
         at = np.flatnonzero(first)
         chunks = np.maximum(pooled[at], pooled[at + 1])
         z = np.maximum(chunks @ self.w1 + self.b1, 0) @ self.w2 + self.b2
-        sums = np.concatenate([[0.0], np.cumsum(z, dtype=np.float64)])
-        upto = np.concatenate([[0], np.cumsum(halves - 1)])
-        return np.diff(sums[upto]) / (halves - 1)
+        starts = np.concatenate([[0], np.cumsum(halves - 1)[:-1]])
+        return np.add.reduceat(z.astype(np.float64), starts) / (halves - 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30)))
+        # rounded: matrix products of batches of different sizes differ in the last digits
+        return np.round(1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30))), 6)
 
     def fit(self, chunks: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 10, size: int = 128, rate: float = 0.01) -> ByteNetwork:
         """Adam on the cross-entropy of single chunks (rows of CHUNK bytes)."""
