@@ -37,7 +37,9 @@ BLOCK = 128
 
 
 def signed_sets(docs: DataFrame, shingle_words: int, permutations: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature, its low bytes."""
+    """doc_id, n_shingles, digest of the set, signature, its low bytes. Of each
+    value the low bits are kept: a minimum over a large set is small, so its
+    high bits say little."""
 
     def run(batches):
         shingler, hasher = Shingler(shingle_words), MinHasher(permutations)
@@ -50,7 +52,7 @@ def signed_sets(docs: DataFrame, shingle_words: int, permutations: int) -> DataF
                         part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_digest(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in (found >> np.uint32(16)).astype(np.uint16)], pa.binary()),
+                        pa.array([s.tobytes() for s in (found & np.uint32(0xFFFF)).astype(np.uint16)], pa.binary()),
                         pa.array([s.tobytes() for s in (found & np.uint32(255)).astype(np.uint8)], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "digest", "signature", "low"],
