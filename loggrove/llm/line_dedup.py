@@ -1,13 +1,14 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A line is what ends at a line feed or after a sentence or clause mark, so that a
+A line is what ends at a line feed, a full stop, a comma or a bar, so that a
 passage inside a paragraph has lines too. A hash rolls over each two neighbouring
-line hashes; where it is even, a chunk begins. Boundaries depend on the two lines
-at them alone, so a passage is cut alike wherever it stands. Chunks that occur
+line hashes; where it is even and the line not short, a chunk begins. Boundaries
+depend on the two lines at them alone, so a passage is cut alike wherever it
+stands. Chunks that occur
 in several documents are compared byte by byte (without white space around
 them); the document with the smallest id keeps its copy, and within a document
-the first stays. Removed are only runs of repeated chunks that have two lines
-or more and at least ``least_chars`` characters.
+the first stays. What goes are runs of repeated chunks that have two lines or more
+and at least ``least_chars`` characters.
 
 Hashes alone cross the cluster to find repeated chunks; the texts follow by
 document once, and of chunks only the repeated ones. A chunk that many
@@ -26,47 +27,67 @@ from pyspark.sql import functions as F
 
 from loggrove.llm.common import written
 
-#: Where lines end: behind a line feed, or behind a mark and white space.
-LINE_ENDS = r"(?<=\n)|(?<=[.!?,;:|]\s)"
+#: Lines end behind these.
+LINE_ENDS = ("\n", ". ", ", ", "| ")
+#: Stands at the line ends while a text is split.
+MARK = "\x01"
 AROUND = " \t\r\n"
+#: Characters of a line at which a chunk may begin, so that no chunk is a word or two.
+LONG_LINE = 16
 
 
 def _or_empty(ready: Column, value: Column, kind: str) -> Column:
     return F.when(ready, value).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def with_chunks(texts: DataFrame) -> DataFrame:
-    """Adds to (.., text) the arrays chunks, chunk_lines (their numbers of lines)
-    and chunk_hashes. The chunks put together are the text."""
-    step = texts.withColumn("lines", F.filter(F.split("text", LINE_ENDS, -1), lambda x: x != ""))
+def _lines(text: Column) -> Column:
+    """The lines of a text. Literal replacements and a split at one character
+    take a fraction of the time of a pattern. A text that holds the mark itself
+    is one line."""
+    marked = text
+    for end in LINE_ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    split = F.filter(F.split(marked, MARK, -1), lambda x: x != "")
+    return F.when(F.contains(text, F.lit(MARK)), F.array(text)).otherwise(split)
+
+
+def with_chunks(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Adds for the text in ``column`` the arrays chunks, chunk_lines (their numbers of lines)
+    and chunk_hashes. The chunks put together are the text.
+
+    No array that is computed here is used once only, inside a lambda: Spark
+    would move its expression there and compute it for each element."""
+    step = texts.withColumn("lines", _lines(F.col(column)))
     step = step.withColumn("line_hashes", F.transform("lines", lambda x: F.xxhash64(F.btrim(x, F.lit(AROUND)))))
-    begins = lambda i: (i == 0) | (F.xxhash64(F.get("line_hashes", i - 1), F.get("line_hashes", i)).bitwiseAND(F.lit(1)) == 0)
+    begins = lambda i: (i == 0) | ((F.xxhash64(F.get("line_hashes", i - 1), F.get("line_hashes", i)).bitwiseAND(F.lit(1)) == 0) & (F.length(F.get("lines", i)) >= LONG_LINE))
     size = F.size("lines")
     step = step.withColumn("starts", _or_empty(size > 0, F.filter(F.sequence(F.lit(0), size - 1), begins), "int"))
+    step = step.withColumn("chunks", F.transform("starts", lambda s, k: F.array_join(F.slice("lines", s + 1, F.coalesce(F.get("starts", k + 1), size) - s), "")))
     step = step.withColumn("chunk_lines", F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1), size) - s))
-    step = step.withColumn("chunks", F.transform("starts", lambda s, k: F.array_join(F.slice("lines", s + 1, F.get("chunk_lines", k)), "")))
     step = step.withColumn("chunk_hashes", F.transform("chunks", lambda c: F.xxhash64(F.btrim(c, F.lit(AROUND)))))
     return step.drop("lines", "line_hashes", "starts")
 
 
 def repeated_hashes(texts: DataFrame) -> DataFrame:
-    """doc_id, hashes: of each document the hashes of its chunks that another
-    document has too."""
-    table = written(with_chunks(texts).select("doc_id", F.array_distinct("chunk_hashes").alias("hashes")), "chunk-hashes")
-    each = table.where("doc_id is not null").select("doc_id", F.explode("hashes").alias("hash"))
-    # rows that repeat an id are one document: its smallest and largest id agree
-    several = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
-    several = several.select(F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"))
-    found = each.withColumn("own", F.col("hash").bitwiseXOR(F.lit(-1))).join(several.hint("merge"), "own")
-    return found.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-
-
-def removable(texts: DataFrame) -> DataFrame:
-    """doc_id, gone: of each document the hashes of the chunks that a document
+    """own_id, repeated, twice: of each document the hashes of its chunks that
+    another row has too, and whether it has a chunk twice itself. Documents
+    with neither have no row."""
+    hashed = with_chunks(texts).select("doc_id", "chunk_hashes", F.array_distinct("chunk_hashes").alias("hashes"))
+    table = written(hashed.where("doc_id is not null").select("doc_id", "hashes", (F.size("hashes") < F.size("chunk_hashes")).alias("twice")), "chunk-hashes")
+    each = table.select("doc_id", F.explode("hashes").alias("hash"))
+    # the join's own key makes Spark shuffle both sides for it, so that it can split a chunk of many documents
+    several = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"))
+    found = each.select("doc_id", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own")).join(several.hint("merge"), "own").select("doc_id", F.col("own").bitwiseXOR(F.lit(-1)).alias("hash"), F.lit(False).alias("twice"))
+    marks = found.unionByName(table.where("twice").select("doc_id", F.lit(None).cast("long").alias("hash"), "twice"))
+    return marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("hash").alias("repeated"), F.max("twice").alias("twice"))
+
+
+def removable(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, hash: of each document the hashes of the chunks that a document
     with a smaller id has byte by byte."""
-    known = written(repeated_hashes(texts).select(F.col("doc_id").alias("own_id"), F.col("hashes").alias("repeated")), "repeated")
+    shared = known.where("size(repeated) > 0").select("own_id", "repeated")
     # null-safe equality adds no filter, so this shuffle of the texts and that of dedup_lines are one
-    marked = with_chunks(texts.join(known.hint("shuffle_hash"), texts.doc_id.eqNullSafe(known.own_id)).select("doc_id", "text", "repeated"))
+    marked = with_chunks(texts.join(shared.hint("shuffle_hash"), texts.doc_id.eqNullSafe(shared.own_id)).select("doc_id", "text", "repeated"))
     pairs = F.arrays_zip(F.col("chunk_hashes").alias("hash"), F.transform("chunks", lambda c: F.btrim(c, F.lit(AROUND))).alias("bytes"))
     each = marked.select("doc_id", F.explode(F.filter(pairs, lambda p: F.array_contains("repeated", p["hash"]))).alias("p")).select("doc_id", F.col("p.hash").alias("hash"), F.col("p.bytes").alias("bytes"))
     # grouping by the bytes is the comparison; their digest then stands for them
@@ -74,31 +95,41 @@ def removable(texts: DataFrame) -> DataFrame:
     keepers = keepers.select(F.xxhash64("hash", "digest").alias("own"), F.col("digest").alias("own_digest"), "keeper")
     keyed = each.select("doc_id", "hash", F.md5("bytes").alias("digest"))
     keyed = keyed.withColumn("own", F.xxhash64("hash", "digest"))
-    gone = keyed.join(keepers.hint("merge"), "own").where("digest = own_digest and doc_id != keeper")
-    return gone.groupBy("doc_id").agg(F.collect_set("hash").alias("gone"))
+    return keyed.join(keepers.hint("merge"), "own").where("digest = own_digest and doc_id != keeper").select("doc_id", "hash")
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated chunks cut out of the text, as
-    (row struct, doc_id, text, new_text, n_chunks, n_removed)."""
+    (doc_id, text, row, new_text, n_removed); ``row`` holds the other columns."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rest = [c for c in docs.columns if c not in (id_column, text_column)]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []))
-    gone = removable(texts).select(F.col("doc_id").alias("own_id"), "gone")
-    step = with_chunks(rows.join(gone.hint("shuffle_hash"), rows.doc_id.eqNullSafe(gone.own_id), "left").drop("own_id"))
-    none = F.array().cast("array<long>")
-    twice = lambda k: (F.array_position("chunk_hashes", F.get("chunk_hashes", k)) <= k) & F.col("doc_id").isNotNull()
-    hit = F.transform("chunk_hashes", lambda h, k: F.array_contains(F.coalesce("gone", none), h) | twice(k))
-    step = step.withColumn("hit", hit)
-    size = lambda k: F.when(F.coalesce(F.get("hit", k), F.lit(False)), F.length(F.get("chunks", k))).otherwise(0)
-    lines = lambda k: F.when(F.coalesce(F.get("hit", k), F.lit(False)), F.get("chunk_lines", k)).otherwise(0)
-    around = lambda f, k: F.when(k > 0, f(k - 1)).otherwise(0) + f(k) + f(k + 1)
-    cut = F.transform("hit", lambda h, k: h & (around(lines, k) >= 2) & (around(size, k) >= least_chars))
-    step = step.withColumn("cut", cut)
-    kept = F.filter("chunks", lambda c, k: ~F.get("cut", k))
-    removed = F.size(F.filter("cut", lambda c: c))
-    new = F.when(F.coalesce(removed, F.lit(0)) > 0, F.array_join(kept, "")).otherwise(F.col("text"))
-    return step.select("doc_id", "text", *(["row"] if rest else []), new.alias("new_text"), F.coalesce(F.size("chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(removed, F.lit(0)).alias("n_removed"))
+    known = written(repeated_hashes(texts), "repeated")
+    marks = removable(texts, known).withColumn("twice", F.lit(False)).unionByName(known.where("twice").select(F.col("own_id").alias("doc_id"), F.lit(None).cast("long").alias("hash"), "twice"))
+    marks = marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("hash").alias("gone"), F.max("twice").alias("twice"))
+    step = rows.join(marks.hint("shuffle_hash"), rows.doc_id.eqNullSafe(marks.own_id), "left")
+    # texts without a mark are not cut up again
+    step = with_chunks(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
+    again = lambda h, k: F.when(F.col("twice"), F.array_position("chunk_hashes", h) <= k).otherwise(False)
+    step = step.withColumn("hit", F.transform("chunk_hashes", lambda h, k: F.array_contains("gone", h) | again(h, k)))
+    # runs of hits lie between stops: the chunks that are none, and both ends
+    n = F.size("chunks")
+    others = F.filter(F.transform("hit", lambda h, k: F.when(~h, k)), lambda k: k.isNotNull())
+    step = step.withColumn("stops", F.concat(F.array(F.lit(-1)), others, F.array(n)))
+
+    def run(i: Column) -> Column:
+        stop = F.get("stops", i + 1)
+        first, count = F.get("stops", i) + 2, stop - F.get("stops", i) - 1
+        lines = F.aggregate(F.slice("chunk_lines", first, count), F.lit(0), lambda x, y: x + y)
+        text = F.array_join(F.slice("chunks", first, count), "")
+        return F.struct(text.alias("text"), lines.alias("lines"), count.alias("count"), F.coalesce(F.get("chunks", stop), F.lit("")).alias("after"))
+
+    step = step.withColumn("runs", F.when(F.col("own_id").isNotNull(), F.transform(F.sequence(F.lit(0), F.size("stops") - 2), run)))
+    goes = lambda r: (r["lines"] >= 2) & (F.length(r["text"]) >= least_chars)
+    step = step.withColumn("n_removed", F.coalesce(F.aggregate("runs", F.lit(0), lambda x, r: x + F.when(goes(r), r["count"]).otherwise(0)), F.lit(0)))
+    kept = F.transform("runs", lambda r: F.concat(F.when(goes(r), F.lit("")).otherwise(r["text"]), r["after"]))
+    new = F.when(F.col("n_removed") > 0, F.array_join(kept, "")).otherwise(F.col("text"))
+    return step.select("doc_id", "text", *(["row"] if rest else []), new.alias("new_text"), "n_removed")
 
 
 def without_repeated_lines(docs: DataFrame, least_chars: int = 60) -> DataFrame:

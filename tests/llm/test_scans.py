@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loggrove.llm.decontamination import ItemMatcher, best_match, contaminations, decontaminate, normalised
 from loggrove.llm.license_scan import PHRASES, LicenseScanner, scan_licenses
-from loggrove.llm.line_dedup import AROUND, dedup_lines, without_repeated_lines
+from loggrove.llm.line_dedup import AROUND, LONG_LINE, dedup_lines, without_repeated_lines
 from loggrove.llm.warc import read_archives, read_records, record, round_trip, write_archives
 from tests.llm.conftest import words
 
@@ -29,7 +29,7 @@ def brute_line_dedup(texts, least=60):
         hashes = [long(x.strip(AROUND).encode(), 42) for x in lines]
         chunks = []
         for i, x in enumerate(lines):
-            if i == 0 or number(hashes[i], number(hashes[i - 1], 42)) & 1 == 0:
+            if i == 0 or number(hashes[i], number(hashes[i - 1], 42)) & 1 == 0 and len(x) >= LONG_LINE:
                 chunks.append([])
             chunks[-1].append(x)
         docs.append((d, t, chunks))
