@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out chunks of lines that a document with a smaller id has."""
+    """Cuts out passages that a document with a smaller id has."""
     return without_repeated_lines(docs)
 
 

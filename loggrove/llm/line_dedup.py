@@ -1,5 +1,8 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
+The query and the pipeline use ``passage_dedup``, which finds passages whole;
+``dedup_lines`` keeps the coarser rule of chunks.
+
 A line is what ends at a line feed, a full stop, a comma or a bar, so that a
 passage inside a paragraph has lines too. A hash rolls over each two neighbouring
 line hashes; where it is even and the line not short, a chunk begins. Boundaries
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loggrove.llm.common import written
+from loggrove.llm.passage_dedup import dedup_passages
 
 #: Lines end behind these.
 LINE_ENDS = ("\n", ". ", ", ", "| ")
@@ -133,9 +137,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
 
 
 def without_repeated_lines(docs: DataFrame, least_chars: int = 60) -> DataFrame:
-    """``docs`` with repeated chunks cut out, columns as they were; ``n_chars``
+    """``docs`` with repeated passages cut out, columns as they were; ``n_chars``
     follows the text. A document of which nothing is left goes."""
-    found = dedup_lines(docs, least_chars)
+    found = dedup_passages(docs, least_chars)
     # as an array of one row that is filtered: a plain filter would be pushed
     # below the projections and repeat all their expressions
     row = F.struct(*[F.col(c) for c in found.columns])

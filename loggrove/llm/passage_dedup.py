@@ -1,0 +1,143 @@
+"""Removal of repeated passages line by line, in DataFrame functions only.
+
+A line is what ends at a line feed or at one of . ! ? , ; : | with white space
+behind it, so that a passage inside a paragraph has lines too. A passage is two or
+more lines in a row with at least ``least_chars`` characters (white space around a
+line does not count, its end counts one). A line goes if it lies in a passage that a
+document with a smaller id has too, or its own document further up. So the
+document with the smallest id keeps its copy, and of each line one copy stays.
+
+To find all of these lines it is enough to compare windows: from each line on the
+shortest passage that begins there, and up to each line the shortest one that ends
+there, since each line of a longer passage lies in one of them. No line is left
+to chance boundaries: a passage goes from its first to its last whole line.
+
+Windows are compared by 96 bits of two hash functions over their lines; hashes
+alone cross the cluster, and the texts follow by document once. A window
+that many documents have is pre-aggregated or split by Spark, never gathered in one
+task.
+
+Nulls: a null text stays null; a row with a null id stays as it is and is not
+compared. Rows that repeat an id count as one document: none of them loses what
+another of them has. Empty texts stay. A text may become empty. An empty table
+gives no rows. Other columns are kept as they are, whatever their names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loggrove.llm.common import written
+
+#: Lines end behind these; a blank is by far the most frequent white space.
+LINE_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ", "| ")
+#: The same and all other white space, as a pattern.
+LINE_END_PATTERN = r"(?<=\n)|(?<=[.!?,;:|]\s)"
+OTHER_SPACES = ("\t", "\r", "\x0b", "\x0c")
+#: Stands at the line ends while a text is split.
+MARK = "\x01"
+AROUND = " \t\r\n"
+#: Lines up to which a window's end is found without a loop.
+UNROLLED = 6
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text. Literal replacements and a split at one character
+    take a fraction of the time of the pattern, which cuts texts with other white
+    space. A text that holds the mark itself is one line."""
+    marked = text
+    for end in LINE_ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    slow = F.lit(False)
+    for space in OTHER_SPACES:
+        slow = slow | F.contains(text, F.lit(space))
+    split = F.filter(F.when(slow, F.split(text, LINE_END_PATTERN, -1)).otherwise(F.split(marked, MARK, -1)), lambda x: x != "")
+    return F.when(F.contains(text, F.lit(MARK)), F.array(text)).otherwise(split)
+
+
+def _once(name: str, value: Column) -> Column:
+    """``value``, which uses the array ``name`` inside a lambda. The second use
+    keeps Spark from moving the array's expression there, where it would be
+    computed for each element."""
+    return F.when(F.size(name) >= 0, value)
+
+
+def _end(i: Column, least: int) -> Column:
+    """Number of the line at which the shortest passage from line ``i`` on ends;
+    null where the text ends before."""
+    size = lambda k: F.get("sizes", i + k)
+    total, found = size(0), None
+    for k in range(1, UNROLLED):
+        total = total + size(k)
+        found = F.when(total >= least, i + k) if found is None else found.when(total >= least, i + k)
+    # each line counts one at least, so a passage has no more than ``least`` lines
+    step = lambda a, x: F.when(a["chars"] >= least, a).otherwise(F.struct((a["chars"] + x).alias("chars"), (a["lines"] + 1).alias("lines")))
+    loop = F.aggregate(F.slice("sizes", i + 1, max(least, 2)), F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines")), step, lambda a: F.when(a["chars"] >= least, i + a["lines"] - 1))
+    return found.when(size(UNROLLED).isNull(), F.lit(None)).otherwise(loop)
+
+
+def with_windows(texts: DataFrame, column: str = "text", least_chars: int = 60) -> DataFrame:
+    """Adds for the text in ``column`` its lines, the windows (first and last
+    line, in order) and their hashes and checks."""
+    step = texts.withColumn("lines", _lines(F.col(column)))
+    step = step.withColumn("bare", F.transform("lines", lambda x: F.btrim(x, F.lit(AROUND))))
+    step = step.withColumn("sizes", F.transform("bare", lambda x: F.length(x) + 1))
+    step = step.withColumn("ends", F.transform("sizes", lambda x, i: _end(i, least_chars)))
+    step = step.withColumn("line_hashes", F.transform("bare", lambda x: F.xxhash64(x)))
+    step = step.withColumn("line_checks", F.transform("bare", lambda x: F.hash(x)))
+    # from line i on: the shortest, and those whose last line no window from i + 1 on ends at
+    last = lambda e, i: F.greatest(e, F.coalesce(F.get("ends", i + 1), F.size("ends")) - 1)
+    each = F.transform("ends", lambda e, i: F.when(e.isNotNull(), F.transform(F.sequence(e, last(e, i)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
+    step = step.withColumn("windows", F.flatten(F.filter(each, lambda w: w.isNotNull())))
+    part = lambda name, w: F.slice(name, w["first"] + 1, w["last"] - w["first"] + 1)
+    step = step.withColumn("hashes", _once("line_hashes", F.transform("windows", lambda w: F.xxhash64(part("line_hashes", w)))))
+    step = step.withColumn("checks", _once("line_checks", F.transform("windows", lambda w: F.hash(part("line_checks", w)))))
+    return step.drop("bare", "sizes", "ends", "line_hashes", "line_checks")
+
+
+def removable(texts: DataFrame, least_chars: int = 60) -> DataFrame:
+    """own_id, gone, twice: of each document the hashes of the windows that a
+    document with a smaller id has, and whether it has a window twice itself.
+    Documents with neither have no row."""
+    hashed = with_windows(texts.where("doc_id is not null"), "text", least_chars)
+    table = written(hashed.select("doc_id", "hashes", "checks", (F.size(F.array_distinct("hashes")) < F.size("hashes")).alias("twice")), "window-hashes")
+    pairs = F.arrays_zip(F.col("hashes").alias("hash"), F.col("checks").alias("check"))
+    each = table.select("doc_id", F.explode(pairs).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.check").alias("check"))
+    keepers = each.groupBy("hash", "check").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    # the join's own key makes Spark shuffle both sides for it, so that it can split a window of many documents
+    keepers = keepers.select(F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"), F.col("check").alias("own_check"), "keeper")
+    found = each.select("doc_id", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"), "check").join(keepers.hint("merge"), "own").where("check = own_check and doc_id != keeper")
+    marks = found.select("doc_id", F.col("own").bitwiseXOR(F.lit(-1)).alias("hash"), F.lit(False).alias("twice"))
+    marks = marks.unionByName(table.where("twice").select("doc_id", F.lit(None).cast("long").alias("hash"), "twice"))
+    return marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("hash").alias("gone"), F.max("twice").alias("twice"))
+
+
+def dedup_passages(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of the text, as
+    (doc_id, text, row, new_text, n_removed); ``row`` holds the other columns,
+    ``n_removed`` counts lines."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rest = [c for c in docs.columns if c not in (id_column, text_column)]
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []))
+    marks = removable(texts, least_chars)
+    step = rows.join(marks.hint("shuffle_hash"), rows.doc_id.eqNullSafe(marks.own_id), "left")
+    # texts without a mark are not cut up again
+    step = with_windows(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked", least_chars)
+    # a hash is looked up among those that go or those that stay, whichever are fewer
+    step = step.withColumn("stay", F.array_except("hashes", "gone"))
+    step = step.withColumn("fewer", F.size("stay") < F.size("gone"))
+    step = step.withColumn("probe", F.when(F.col("fewer"), F.col("stay")).otherwise(F.col("gone")))
+    again = lambda h, k: F.when(F.col("twice"), F.array_position("hashes", h) <= k).otherwise(False)
+    hit = F.transform("hashes", lambda h, k: (F.array_contains("probe", h) != F.col("fewer")) | again(h, k))
+    step = step.withColumn("hit", _once("probe", hit))
+    step = step.withColumn("out", _once("hit", F.filter("windows", lambda w, k: F.get("hit", k))))
+    # ends of windows never fall, so what stays lies before a window that begins behind the end of the one before it
+    before = lambda k: F.when(k > 0, F.get("out", k - 1)["last"] + 1).otherwise(0)
+    first = lambda k: F.coalesce(F.get("out", k)["first"], F.size("lines"))
+    gaps = F.filter(F.transform(F.sequence(F.lit(0), F.size("out")), lambda k: F.struct(before(k).alias("at"), (first(k) - before(k)).alias("n"))), lambda g: g["n"] > 0)
+    step = step.withColumn("gaps", F.when(F.size("out") > 0, gaps))
+    kept = F.aggregate("gaps", F.lit(0), lambda x, g: x + g["n"])
+    step = step.withColumn("n_removed", F.when(F.size("out") > 0, F.size("lines") - kept).otherwise(0))
+    new = F.array_join(F.transform("gaps", lambda g: F.array_join(F.slice("lines", g["at"] + 1, g["n"]), "")), "")
+    return step.select("doc_id", "text", *(["row"] if rest else []), F.when(F.col("n_removed") > 0, new).otherwise(F.col("text")).alias("new_text"), "n_removed")

@@ -47,9 +47,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from loggrove.llm.line_dedup import dedup_lines
+    from loggrove.llm.passage_dedup import dedup_passages
 
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.char_length("new_text").cast("long").alias("kept_chars"), F.sha2("new_text", 256).alias("kept_sha256"))
 
 
