@@ -34,10 +34,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/loggrove/{label}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends there."""
+def written(frame: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends there. With
+    ``release`` the shuffle files of this run are removed at its end."""
     path = fresh_path(frame.sparkSession, label)
-    frame.write.parquet(path)
+    conf, switch = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(switch)
+    try:
+        if release:
+            conf.set(switch, "true")
+        frame.write.parquet(path)
+    finally:
+        conf.set(switch, before)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -45,15 +45,14 @@ UNROLLED = 6
 def _lines(text: Column) -> Column:
     """The lines of a text. Literal replacements and a split at one character
     take a fraction of the time of the pattern, which cuts texts with other white
-    space. A text that holds the mark itself is one line."""
+    space or with the mark itself."""
     marked = text
     for end in LINE_ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    slow = F.lit(False)
+    slow = F.contains(text, F.lit(MARK))
     for space in OTHER_SPACES:
         slow = slow | F.contains(text, F.lit(space))
-    split = F.filter(F.when(slow, F.split(text, LINE_END_PATTERN, -1)).otherwise(F.split(marked, MARK, -1)), lambda x: x != "")
-    return F.when(F.contains(text, F.lit(MARK)), F.array(text)).otherwise(split)
+    return F.filter(F.when(slow, F.split(text, LINE_END_PATTERN, -1)).otherwise(F.split(marked, MARK, -1)), lambda x: x != "")
 
 
 def _once(name: str, value: Column) -> Column:
@@ -110,7 +109,8 @@ def removable(texts: DataFrame, least_chars: int = 60) -> DataFrame:
     found = each.select("doc_id", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"), "check").join(keepers.hint("merge"), "own").where("check = own_check and doc_id != keeper")
     marks = found.select("doc_id", F.col("own").bitwiseXOR(F.lit(-1)).alias("hash"), F.lit(False).alias("twice"))
     marks = marks.unionByName(table.where("twice").select("doc_id", F.lit(None).cast("long").alias("hash"), "twice"))
-    return marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("hash").alias("gone"), F.max("twice").alias("twice"))
+    # the hashes' shuffles are gone before the texts' begins
+    return written(marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("hash").alias("gone"), F.max("twice").alias("twice")), "removable", release=True)
 
 
 def dedup_passages(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

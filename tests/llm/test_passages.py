@@ -67,3 +67,10 @@ def test_a_planted_passage_goes_from_its_first_to_its_last_line(spark, make_docs
         assert first.new_text == first.text and second.new_text == second.text.replace(passage, "")
     kept = {r.doc_id: r.text for r in without_repeated_lines(make_docs(texts)).collect()}
     assert kept == {d: r.new_text for d, r in got.items()}
+
+
+def test_a_text_with_control_characters_is_cut_like_others(spark, make_docs):
+    passage = "Xa. " + prose(50, 9, [". ", ", "]).strip() + ". "
+    texts = [(1, "a\x01b. " + passage), (2, "a\x01b. " + passage), (3, "\x01\x01 c. " + passage + "d\x01e"), (4, "f. " + passage + "g.")]
+    got = {r.doc_id: r.new_text for r in dedup_passages(make_docs(texts)).collect()}
+    assert got == {1: texts[0][1], 2: "", 3: "\x01\x01 c. d\x01e", 4: "f. g."}
