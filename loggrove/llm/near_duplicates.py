@@ -61,17 +61,17 @@ def signed_sets(docs: DataFrame, shingle_words: int, permutations: int) -> DataF
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, low binary")
 
 
-def forest_neighbours(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
+def forest_neighbours(sets: DataFrame, trees: int, depth: int, reach: int, kind: type = np.uint16) -> DataFrame:
     """Pairs (a, b) of nodes that are within ``reach`` places of one another in a
     tree's order and share at least ``depth`` values there. ``depth`` is 4: four
-    values of 16 bits make one sort key, the next four the second."""
+    values (of 16 bits at most, ``kind``) make one sort key, the next four the second."""
 
     def expand(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(n, -1).astype(np.uint64)
+            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), kind).reshape(n, -1).astype(np.uint64)
             columns = {"tree": [], "near": [], "far": [], "node": []}
             node = batch.column("node")
             for t in range(trees):
@@ -124,18 +124,11 @@ def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int) -> np.ndarray:
-    """Root of each set after joining all pairs with whole * |both| >= part *
-    |either|. ``across``: only pairs of which one is ``left`` and one is not."""
+def like_sets(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int):
+    """Yields each set with those it makes pairs with whole * |both| >= part *
+    |either| with, each pair once. ``across``: only pairs of which one is
+    ``left`` and one is not."""
     n = len(sets)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     size = np.array([len(s) for s in sets])
     words = np.concatenate(sets)
     doc = np.repeat(np.arange(n), size)
@@ -162,14 +155,39 @@ def linked(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, wh
         hits = whole * common >= part * (size[i] + size - common)
         hits[i] = False
         hits &= (common > 0) & (~left if across else np.arange(n) > i)
-        for j in np.flatnonzero(hits).tolist():
+        yield i, np.flatnonzero(hits)
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int) -> np.ndarray:
+    """Root of each set after joining all pairs of ``like_sets``."""
+    root = np.arange(len(sets))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, others in like_sets(sets, left, across, part, whole):
+        for j in others.tolist():
             x, y = find(i), find(j)
             root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(n)], np.int64)
+    return np.array([find(i) for i in range(len(sets))], np.int64)
+
+
+def least_like(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int) -> np.ndarray:
+    """The first set before each one that makes a pair of ``like_sets`` with it;
+    its own place where there is none."""
+    best = np.arange(len(sets))
+    for i, others in like_sets(sets, left, across, part, whole):
+        best[others] = np.minimum(best[others], i)
+        best[i] = min(best[i], others.min(initial=i))
+    return best
 
 
-def exact_links(docs: DataFrame, sets: DataFrame, canopies: DataFrame, shingle_words: int, part: int, whole: int) -> DataFrame:
-    """Edges (a, b) that span the links within each canopy, from full sets."""
+def exact_links(docs: DataFrame, sets: DataFrame, canopies: DataFrame, shingle_words: int, part: int, whole: int, choose=linked) -> DataFrame:
+    """Edges (a, b) from full sets: those that span the links within each canopy,
+    or with ``least_like`` of each block those to its smallest like id."""
     blocks = canopies.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.col("component").bitwiseXOR(F.lit(-1)).alias("key"), "blocks")
     placed = canopies.withColumn("key", F.col("component").bitwiseXOR(F.lit(-1))).join(blocks.hint("merge"), "key").select(F.col("node").alias("id"), "component", "blocks")
     placed = written(placed.join(sets.select(F.col("node").alias("id"), "digest"), "id"), "placed")
@@ -196,7 +214,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, canopies: DataFrame, shingle_w
             if len(ids) < 2:
                 return None
             rows = [rows[k] for k in first]
-            root = linked([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), key[1] != key[2], part, whole)
+            root = choose([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), key[1] != key[2], part, whole)
             more = root != np.arange(len(ids))
             return ids[root[more]], ids[more]
 
