@@ -49,6 +49,18 @@ def written(frame: DataFrame, label: str, release: bool = False) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def among(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose ``column`` may be one of ``ids`` (one column): a Bloom
+    filter with one hash, so that a join with few of the rows need not shuffle
+    all. Its size is fixed: ``bits`` / 64 rows of two numbers are broadcast,
+    however many ids there are; the more, the more rows pass. A join decides."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    mask = ids.select(place(F.col(ids.columns[0]).cast("long")).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
+    own = place(rows[column].cast("long"))
+    found = (F.shiftright(own, 6) == mask["word"]) & (F.call_function("shiftright", mask["mask"], own.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return rows.join(F.broadcast(mask), found, "left_semi")
+
+
 def whole_text(name: str = "text") -> Column:
     """Text with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

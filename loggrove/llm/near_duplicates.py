@@ -1,24 +1,24 @@
 """MinHash near-duplicates by an LSH forest.
 
-Every distinct shingle set has a signature of ``trees * depth`` values. Tree t
-sorts all signatures from value t * depth on (the rest follows, wrapping
-around). In sorted order the neighbours of a set are those with the longest
-common prefix; those that share at least ``depth`` values are candidates. Where
-many sets share that much, the nearest ones share more: the denser a region,
-the deeper it is searched. A pair at similarity s meets in a tree with
-probability s**depth; with 24 trees of depth 4, one at 0.8 escapes all of them
-with probability 3e-6.
-
-Candidates whose signatures cannot belong to a link are dropped, and the others
-join sets into canopies. Within a canopy links are exact: all its sets are
-compared in full, a big canopy in blocks over many tasks, so no region has a cap
-and no link inside is lost. Links become components. Copies (equal sets) are one
-node throughout, however many rows they are.
+Every distinct shingle set has a signature of ``trees * depth`` values (their low
+bytes). Tree t sorts all signatures from value t * depth on, sixteen values deep.
+In sorted order the neighbours of a set are those with the longest common prefix;
+those that share at least ``depth`` values are candidates. Where many sets share
+that much, the nearest ones share more: the denser a region, the deeper it is
+searched. A pair at similarity s shares the first values of a tree with probability
+s**depth, so one at 0.8 shares none of 24 with probability 3e-6; in a crowd, more
+than ``reach`` sets may lie between the two in all trees.
+
+Therefore candidates are not links but join sets into canopies, which need no
+direct neighbours, and links inside a canopy are exact (``canopies``). A link
+between two canopies is lost; ``tests/llm/test_crowds.py`` measures how many are.
+Links become components. Copies (equal sets) are one node throughout, however
+many rows they are.
 
 Nulls: null and empty texts have the empty set and no links. A row with a null
 id gets a null component and stays. Rows that repeat an id and a text belong to
-one class and stay or go together. An empty table gives no rows. Other columns
-are ignored.
+one class and stay or go together. Very long texts are shingled whole, in groups
+of bounded size. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,211 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loggrove.llm.canopies import forest_pairs, linked_components
 from loggrove.llm.common import slices, whole_text, written
-from loggrove.llm.components import connected_components
 from loggrove.llm.shingles import MinHasher, Shingler, set_digest
 
-#: Sets in a block of a big canopy.
-BLOCK = 128
-
 
 def signed_sets(docs: DataFrame, shingle_words: int, permutations: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature, its low bytes. Of each
-    value the low bits are kept: a minimum over a large set is small, so its
-    high bits say little."""
+    """doc_id, n_shingles, digest of the set, signature. Of each value the low
+    byte is kept: a minimum over a large set is small, so its high bits say
+    little."""
 
     def run(batches):
         shingler, hasher = Shingler(shingle_words), MinHasher(permutations)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingler.sets(part.column("text").cast(pa.binary()).to_pylist())
-                found = hasher.signatures(sets)
+                found = (hasher.signatures(sets) & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_digest(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in (found & np.uint32(0xFFFF)).astype(np.uint16)], pa.binary()),
-                        pa.array([s.tobytes() for s in (found & np.uint32(255)).astype(np.uint8)], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "digest", "signature", "low"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, low binary")
-
-
-def forest_neighbours(sets: DataFrame, trees: int, depth: int, reach: int, kind: type = np.uint16) -> DataFrame:
-    """Pairs (a, b) of nodes that are within ``reach`` places of one another in a
-    tree's order and share at least ``depth`` values there. ``depth`` is 4: four
-    values (of 16 bits at most, ``kind``) make one sort key, the next four the second."""
-
-    def expand(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), kind).reshape(n, -1).astype(np.uint64)
-            columns = {"tree": [], "near": [], "far": [], "node": []}
-            node = batch.column("node")
-            for t in range(trees):
-                key = s[:, (t * depth + np.arange(2 * depth)) % s.shape[1]]
-                pack = lambda k: ((k[:, 0] << np.uint64(48)) | (k[:, 1] << np.uint64(32)) | (k[:, 2] << np.uint64(16)) | k[:, 3]).view(np.int64)
-                columns["tree"].append(np.full(n, t, np.int32))
-                columns["near"].append(pack(key[:, :4]))
-                columns["far"].append(pack(key[:, 4:]))
-                columns["node"].append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[c])) for c in ("tree", "near", "far")] + [pa.concat_arrays(columns["node"])], names=list(columns))
-
-    def neighbours(batches):
-        kept = None
-        for batch in batches:
-            own = [np.asarray(batch.column(k)) for k in range(3)]
-            if kept is not None:
-                own = [np.concatenate([x, y]) for x, y in zip(kept, own)]
-            tree, near, node = own
-            fresh = 0 if kept is None else len(kept[0])
-            a, b = [], []
-            for lag in range(1, reach + 1):
-                if len(node) > lag:
-                    same = (near[lag:] == near[:-lag]) & (tree[lag:] == tree[:-lag])
-                    same[: max(fresh - lag, 0)] = False
-                    a.append(node[:-lag][same])
-                    b.append(node[lag:][same])
-            kept = [x[-reach:] for x in own]
-            a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
-            # a pair that several lags or batches yield is yielded once
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    rows = sets.select("node", "signature").mapInArrow(expand, "tree int, near long, far long, node long")
-    ordered = rows.repartitionByRange("tree", "near", "far", "node").sortWithinPartitions("tree", "near", "far", "node")
-    return ordered.select("tree", "near", "node").mapInArrow(neighbours, "a long, b long").distinct()
-
-
-def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in a share of at least ``least``."""
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("x", "y"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
-
-    low = sets.select("node", "low")
-    both = pairs.join(low.select(F.col("node").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def like_sets(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int):
-    """Yields each set with those it makes pairs with whole * |both| >= part *
-    |either| with, each pair once. ``across``: only pairs of which one is
-    ``left`` and one is not."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    words = np.concatenate(sets)
-    doc = np.repeat(np.arange(n), size)
-    order = np.argsort(words, kind="stable")
-    words, doc = words[order], doc[order]
-    new = np.concatenate([[True], words[1:] != words[:-1]])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    held = np.diff(np.append(first, len(words)))
-    # entries by document, of words that several sets have
-    shared = np.flatnonzero(held[group] > 1)
-    by_doc = shared[np.argsort(doc[shared], kind="stable")]
-    bounds = np.searchsorted(doc[by_doc], np.arange(n + 1))
-    for i in range(n):
-        if across and not left[i]:
-            continue
-        g = group[by_doc[bounds[i] : bounds[i + 1]]]
-        if not len(g):
-            continue
-        length = held[g]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1]) + np.repeat(first[g] - ends + length, length)
-        common = np.bincount(doc[at], minlength=n)
-        hits = whole * common >= part * (size[i] + size - common)
-        hits[i] = False
-        hits &= (common > 0) & (~left if across else np.arange(n) > i)
-        yield i, np.flatnonzero(hits)
-
-
-def linked(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int) -> np.ndarray:
-    """Root of each set after joining all pairs of ``like_sets``."""
-    root = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, others in like_sets(sets, left, across, part, whole):
-        for j in others.tolist():
-            x, y = find(i), find(j)
-            root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(len(sets))], np.int64)
-
-
-def least_like(sets: list[np.ndarray], left: np.ndarray, across: bool, part: int, whole: int) -> np.ndarray:
-    """The first set before each one that makes a pair of ``like_sets`` with it;
-    its own place where there is none."""
-    best = np.arange(len(sets))
-    for i, others in like_sets(sets, left, across, part, whole):
-        best[others] = np.minimum(best[others], i)
-        best[i] = min(best[i], others.min(initial=i))
-    return best
-
-
-def exact_links(docs: DataFrame, sets: DataFrame, canopies: DataFrame, shingle_words: int, part: int, whole: int, choose=linked) -> DataFrame:
-    """Edges (a, b) from full sets: those that span the links within each canopy,
-    or with ``least_like`` of each block those to its smallest like id."""
-    blocks = canopies.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.col("component").bitwiseXOR(F.lit(-1)).alias("key"), "blocks")
-    placed = canopies.withColumn("key", F.col("component").bitwiseXOR(F.lit(-1))).join(blocks.hint("merge"), "key").select(F.col("node").alias("id"), "component", "blocks")
-    placed = written(placed.join(sets.select(F.col("node").alias("id"), "digest"), "id"), "placed")
-
-    def to_sets(batches):
-        shingler = Shingler(shingle_words)
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                found = shingler.sets(piece.column("text").cast(pa.binary()).to_pylist())
-                own = pa.array([set_digest(s) == d for s, d in zip(found, piece.column("digest").to_pylist())])
-                rows = [piece.column(c) for c in ("id", "component", "blocks")] + [pa.array([s.tobytes() for s in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names=["id", "component", "blocks", "words"]).filter(own)
-
-    full = docs.join(placed.hint("shuffle_hash"), docs.doc_id == placed.id).select("id", "component", "blocks", "digest", "text").mapInArrow(to_sets, "id long, component long, blocks int, words binary")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    celled = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    celled = celled.select("id", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") <= F.col("other")).alias("left"), "words")
-    cells = celled.repartition(F.xxhash64("component", "low", "high")).sortWithinPartitions("component", "low", "high", "id")
-
-    def verify(batches):
-        def of_cell(key, rows):
-            ids = np.array([r[0] for r in rows], np.int64)
-            ids, first = np.unique(ids, return_index=True)  # rows that repeat an id
-            if len(ids) < 2:
-                return None
-            rows = [rows[k] for k in first]
-            root = choose([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), key[1] != key[2], part, whole)
-            more = root != np.arange(len(ids))
-            return ids[root[more]], ids[more]
-
-        key, rows = None, []
-        for batch in batches:
-            out = []
-            for component, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "id", "left", "words"))):
-                if (component, low, high) != key:
-                    out.append(of_cell(key, rows))
-                    key, rows = (component, low, high), []
-                rows.append(row)
-            out = [x for x in out if x is not None]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], names=["a", "b"])
-        if (last := of_cell(key, rows)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["a", "b"])
-
-    return cells.mapInArrow(verify, "a long, b long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 80, whole: int = 100, trees: int = 24, depth: int = 4, reach: int = 6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -240,13 +57,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 80, who
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     signed = written(signed_sets(texts, shingle_words, trees * depth), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    sets = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("low").alias("low")), "sets")
-    # share of equal values that a link at the threshold has, less five standard deviations
-    share = part / whole
-    least = share - 5 * (share * (1 - share) / (trees * depth)) ** 0.5
-    candidates = likely(forest_neighbours(sets, trees, depth, reach), sets, least)
-    canopies = written(connected_components(candidates), "canopies")
-    components = connected_components(exact_links(texts, sets, canopies, shingle_words, part, whole))
+    sets = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "distinct", release=True)
+    components = linked_components(texts, sets, forest_pairs(sets, trees, depth, reach), shingle_words, part, whole, trees * depth)
     classes = sets.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(classes.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

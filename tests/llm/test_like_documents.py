@@ -1,17 +1,12 @@
 import random
 
+import numpy as np
+
+from loggrove.llm import canopies
 from loggrove.llm.fingerprints import fingerprint_table
+from loggrove.llm.near_duplicates import near_duplicates
 from tests.llm.conftest import words
-from tests.llm.test_duplicates import edited
-
-
-def brute_like(texts, size=5):
-    """The smallest smaller id at a Jaccard similarity of 0.8, by all pairs."""
-    sets = []
-    for d, t in texts:
-        w = t.split()
-        sets.append((d, {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}))
-    return {d: min((e for e, t in sets if e < d and 100 * len(s & t) >= 80 * len(s | t)), default=None) for d, s in sets}
+from tests.llm.test_duplicates import brute_classes, edited
 
 
 def test_like_documents_are_those_of_all_pairs_in_a_crowd(spark, make_docs):
@@ -22,10 +17,10 @@ def test_like_documents_are_those_of_all_pairs_in_a_crowd(spark, make_docs):
     for k in range(60):
         base = (shared + words(80, 50 + 2 * k))[:]
         texts.append((1000 + k, " ".join(edited(base, r.choice([0.005, 0.015, 0.02, 0.025, 0.03]), r))))
-    want = brute_like(texts)
-    got = {x.doc_id: x.like_id for x in fingerprint_table(make_docs(texts)).collect()}
+    want, _ = brute_classes(texts, 5)
+    got = {x.doc_id: x.class_id for x in fingerprint_table(make_docs(texts)).collect()}
     assert got == want
-    assert 20 < sum(v is not None for v in want.values()) < 60
+    assert 20 < sum(d != c for d, c in want.items()) < 60
 
 
 def test_pairs_next_to_the_threshold_are_verified_by_their_sets(spark, make_docs):
@@ -34,6 +29,51 @@ def test_pairs_next_to_the_threshold_are_verified_by_their_sets(spark, make_docs
     for g in range(40):
         base, k = words(200, 700 + g), 19 + g % 6
         texts += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: 200 - k] + words(k, 7000 + g)))]
-    want = brute_like(texts)
-    assert {v is None for d, v in want.items() if d % 2} == {True, False}
-    assert {x.doc_id: x.like_id for x in fingerprint_table(make_docs(texts)).collect()} == want
+    want, _ = brute_classes(texts, 5)
+    assert {c == d for d, c in want.items() if d % 2} == {True, False}
+    assert {x.doc_id: x.class_id for x in fingerprint_table(make_docs(texts)).collect()} == want
+
+
+def test_a_canopy_in_several_components_is_searched_to_the_end(spark, make_docs, monkeypatch):
+    # blocks of a few sets leave links to the prefix join
+    monkeypatch.setattr(canopies, "BLOCK", 8)
+    monkeypatch.setattr(canopies, "OVERLAP", 1)
+    monkeypatch.setattr(canopies, "STRAYS", 5)
+    monkeypatch.setattr(canopies, "OTHERS", 7)
+    r = random.Random(9)
+    shared = words(150, 1)
+    texts = []
+    for k in range(150):
+        base = edited(shared, 0.03, random.Random(k // 3)) + words(30, 50 + k // 3)
+        texts.append((k, " ".join(edited(base, r.choice([0.0, 0.01, 0.02]), r))))
+    want, _ = brute_classes(texts, 4)
+    assert 50 <= len(set(want.values())) < 120
+    assert {x.doc_id: x.component_id for x in near_duplicates(make_docs(texts), shingle_words=4).collect()} == want
+
+
+def test_a_block_compares_all_its_pairs():
+    sets = [np.array(s, np.int64) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5], [9], [])]
+    assert canopies.linked(sets, 80, 100).tolist() == [0, 0, 0, 3, 4]
+    assert canopies.linked(sets, 90, 100).tolist() == [0, 1, 0, 3, 4]
+    assert canopies.linked([np.zeros(0, np.int64)] * 2, 80, 100).tolist() == [0, 1]
+
+
+def test_rows_and_moved_sets_grow_with_a_group_of_near_copies(spark, make_docs, monkeypatch):
+    moved = []
+    links, sets = canopies._block_links, canopies.full_sets
+
+    def counted(full, part, whole):
+        edges = links(full, part, whole)
+        moved[-1] += [full.selectExpr("sum(size(blocks))").first()[0], edges.count()]
+        return edges
+
+    monkeypatch.setattr(canopies, "_block_links", counted)
+    for n in (1000, 2000):
+        r = random.Random(n)
+        base = words(60, 5)
+        moved.append([])
+        texts = [(k, " ".join(base[:j] + words(1, n + k) + base[j + 1 :])) for k in range(n) if (j := r.randrange(60)) >= 0]
+        got = near_duplicates(make_docs(texts), shingle_words=4).select("component_id").distinct().count()
+        assert got == 1
+    for small, large in zip(*moved):
+        assert large <= 2.2 * small
