@@ -33,7 +33,7 @@ from loggrove.llm.shingles import Shingler, set_digest
 #: Sets in a block; those it shares with the one before; orders of a large canopy.
 BLOCK, OVERLAP, ORDERS = 128, 16, 3
 #: Sets outside the largest component, and all sets, that meet in one cell of step 2.
-STRAYS, OTHERS = 256, 2048
+STRAYS, OTHERS = 128, 512
 
 
 def signature_rows(column: pa.Array) -> np.ndarray:
@@ -41,11 +41,20 @@ def signature_rows(column: pa.Array) -> np.ndarray:
 
 
 def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
-    """Pairs (a, b) of nodes that are within ``reach`` places of one another in a
-    tree's order and share its first ``depth`` values (4). Tree t sorts by the
-    sixteen values from t * depth on, wrapping around, so in a crowded region the
-    neighbours are those with the longest common prefix. Rows at the borders of
-    the sort's partitions meet in a step of their own."""
+    """Pairs (a, b) of nodes that follow one another in a tree's order and share
+    its first ``depth`` values (4), or are within ``reach`` places and share as long
+    a prefix as one of them shares with its nearest neighbours: the depth adapts
+    to how crowded a region is. Tree t sorts by the sixteen values from t * depth
+    on, wrapping around. Rows at the borders of the sort's partitions meet in a
+    step of their own."""
+
+    def shared(x, y, lag):
+        """Values of the common prefix of rows that are ``lag`` apart."""
+        out = np.zeros(len(x) - lag, np.int64)
+        for key, base in ((y, 8), (x, 0)):
+            other = (key[lag:] ^ key[:-lag]).view(np.uint64)
+            out = np.where(other == 0, out if base == 0 else 16, base + (64 - np.frexp(other.astype(np.float64))[1]) // 8)
+        return out
 
     def expand(batches):
         for batch in batches:
@@ -68,12 +77,15 @@ def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFra
             fresh = 0 if kept is None else len(kept[0])
             if kept is not None:
                 own = [np.concatenate([x, y]) for x, y in zip(kept, own)]
-            tree, near, _, node = own
-            region = near >> np.int64(8 * (8 - depth))
-            a, b = [], []
+            tree, near, far, node = own
+            a, b, best = [], [], np.zeros(len(node), np.int64)
             for lag in range(1, reach + 1):
                 if len(node) > lag:
-                    same = (region[lag:] == region[:-lag]) & (tree[lag:] == tree[:-lag])
+                    prefix = np.where(tree[lag:] == tree[:-lag], shared(near, far, lag), 0)
+                    if lag == 1:
+                        best[1:], best[:-1] = prefix, np.maximum(best[:-1], prefix)
+                        best[1:-1] = np.maximum(prefix[:-1], prefix[1:])
+                    same = prefix >= np.maximum(depth, np.minimum(best[lag:], best[:-lag]) if lag > 1 else 0)
                     same[: max(fresh - lag, 0)] = False
                     a.append(node[:-lag][same])
                     b.append(node[lag:][same])
