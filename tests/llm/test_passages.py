@@ -1,8 +1,6 @@
 import random
-import re
 
-from loggrove.llm.line_dedup import without_repeated_lines
-from loggrove.llm.passage_dedup import AROUND, dedup_passages
+from loggrove.llm.line_dedup import dedup_lines, without_repeated_lines
 from tests.llm.conftest import words
 
 ENDS = [". ", "! ", "? ", ", ", "; ", ": ", " | ", ".\n", "?\t", "!\r\n", "\n"]
@@ -14,46 +12,6 @@ def prose(n, seed, ends=ENDS):
     return "".join(x + (r.choice(ends) if r.random() < 0.25 else " ") for x in words(n, seed))
 
 
-def brute_passages(texts, least=60):
-    """The operator's rule by loops over all passages, not only the windows."""
-    docs = []
-    for d, t in texts:
-        lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:|][ \t\n\x0b\f\r])", t or "") if x]
-        docs.append((d, t, lines, [x.strip(AROUND) for x in lines]))
-
-    def passages(bare):
-        for i in range(len(bare)):
-            for j in range(i + 1, len(bare)):
-                if sum(map(len, bare[i : j + 1])) + j - i + 1 >= least:
-                    yield i, j, tuple(bare[i : j + 1])
-
-    keeper = {}
-    for d, _, _, bare in docs:
-        for _, _, p in passages(bare) if d is not None else ():
-            keeper[p] = min(keeper.get(p, d), d)
-    out = []
-    for d, t, lines, bare in docs:
-        gone, seen = set(), set()
-        for i, j, p in passages(bare) if d is not None else ():
-            if keeper[p] != d or p in seen:
-                gone |= set(range(i, j + 1))
-            seen.add(p)
-        out.append((d, "".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(gone)))
-    return out
-
-
-def test_passages_are_those_of_all_pairs(spark, make_docs, odd_texts):
-    r = random.Random(5)
-    shared = [prose(30, 100), prose(14, 101), "Ha! " * 40, "\n" * 70, "a\n" * 33]
-    texts = [x for x in odd_texts if x[0] != 6]
-    for k in range(60):
-        texts.append((200 + k, prose(r.randint(0, 20), k) + r.choice(shared) + prose(r.randint(0, 9), k + 500) + r.choice(shared) + prose(r.randint(0, 20), k + 700)))
-    texts += [(300, prose(40, 1)), (301, prose(40, 1)), (302, prose(30, 2) + "\n" + prose(30, 2)), (302, prose(30, 2)), (None, shared[0])]
-    got = sorted((repr(x.doc_id), repr(x.new_text), x.n_removed) for x in dedup_passages(make_docs(texts)).collect())
-    want = sorted((repr(d), repr(t), n) for d, t, n in brute_passages(texts))
-    assert got == want and sum(n > 0 for _, _, n in want) > 30
-
-
 def test_a_planted_passage_goes_from_its_first_to_its_last_line(spark, make_docs):
     # fifty words in lines of every length, within a paragraph and without a line feed
     texts, planted = [], []
@@ -61,7 +19,7 @@ def test_a_planted_passage_goes_from_its_first_to_its_last_line(spark, make_docs
         passage = prose(50, 4000 + k, [". ", "! ", "? ", ", ", "; ", ": "]).strip() + ". "
         planted.append(passage)
         texts += [(2 * k, prose(20, k).strip() + ". " + passage + prose(20, k + 100)), (2 * k + 1, prose(20, k + 200).strip() + ". " + passage + prose(20, k + 300))]
-    got = {r.doc_id: r for r in dedup_passages(make_docs(texts)).collect()}
+    got = {r.doc_id: r for r in dedup_lines(make_docs(texts)).collect()}
     for k, passage in enumerate(planted):
         first, second = got[2 * k], got[2 * k + 1]
         assert first.new_text == first.text and second.new_text == second.text.replace(passage, "")
@@ -72,5 +30,5 @@ def test_a_planted_passage_goes_from_its_first_to_its_last_line(spark, make_docs
 def test_a_text_with_control_characters_is_cut_like_others(spark, make_docs):
     passage = "Xa. " + prose(50, 9, [". ", ", "]).strip() + ". "
     texts = [(1, "a\x01b. " + passage), (2, "a\x01b. " + passage), (3, "\x01\x01 c. " + passage + "d\x01e"), (4, "f. " + passage + "g.")]
-    got = {r.doc_id: r.new_text for r in dedup_passages(make_docs(texts)).collect()}
+    got = {r.doc_id: r.new_text for r in dedup_lines(make_docs(texts)).collect()}
     assert got == {1: texts[0][1], 2: "", 3: "\x01\x01 c. d\x01e", 4: "f. g."}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loggrove.llm.decontamination import ItemMatcher, best_match, contaminations, decontaminate, normalised
 from loggrove.llm.license_scan import PHRASES, LicenseScanner, scan_licenses
-from loggrove.llm.line_dedup import AROUND, LONG_LINE, dedup_lines, without_repeated_lines
+from loggrove.llm.line_dedup import AROUND, LONGEST, dedup_lines, without_repeated_lines
 from loggrove.llm.warc import read_archives, read_records, record, round_trip, write_archives
 from tests.llm.conftest import words
 
@@ -22,43 +22,59 @@ from tests.llm.conftest import words
 def brute_line_dedup(texts, least=60):
     """The operator's rule by loops over all chunks."""
     long = lambda b, seed: xxhash.xxh64_intdigest(b, seed)
-    number = lambda v, seed: long(v.to_bytes(8, "little"), seed)
+
+    def rolled(hashes):
+        seed = 42
+        for v in hashes:
+            seed = long(v.to_bytes(8, "little"), seed)
+        return seed
+
     docs = []
     for d, t in texts:
-        lines = [t] if "\x01" in (t or "") else [x for x in re.split(r"(?<=\n)|(?<=\. )|(?<=, )|(?<=\| )", t or "") if x]
-        hashes = [long(x.strip(AROUND).encode(), 42) for x in lines]
-        chunks = []
-        for i, x in enumerate(lines):
-            if i == 0 or number(hashes[i], number(hashes[i - 1], 42)) & 1 == 0 and len(x) >= LONG_LINE:
-                chunks.append([])
-            chunks[-1].append(x)
-        docs.append((d, t, chunks))
+        lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:|][ \t\n\x0b\f\r])", t or "") if x]
+        bare = [x.strip(AROUND) for x in lines]
+        hashes = [long(x.encode(), 42) for x in bare]
+        roll = [rolled(hashes[i : i + 2]) for i in range(len(lines) - 1)]
+        starts = [i for i in range(len(roll)) if i == 0 or roll[i] & 3]
+        end = lambda s: next((j for j in range(s + 1, s + LONGEST - 1) if j == len(lines) - 1 or j < len(lines) and roll[j - 1] & 12), min(s + LONGEST - 1, len(lines) - 1))  # noqa: E731, B023
+        docs.append((d, t, lines, bare, [(s, end(s)) for s in starts]))
+    # of each chunk: who keeps it, and the lines around it there
     keeper = {}
-    for d, _, chunks in docs:
-        for c in chunks:
-            key = "".join(c).strip(AROUND)
-            keeper[key] = min(keeper.get(key, d), d) if d is not None else keeper.get(key, 10**18)
+    for d, _, _, bare, chunks in docs:
+        for k, (a, b) in enumerate(chunks):
+            first = chunks[k - 1][0] + 1 if k else a
+            last = chunks[k + 1][1] - 1 if k + 1 < len(chunks) else len(bare) - 1
+            key = tuple(bare[a : b + 1])
+            if d is not None and (key not in keeper or d < keeper[key][0]):
+                keeper[key] = d, bare[first:a][::-1], bare[b + 1 : last + 1]
     out = []
-    for d, t, chunks in docs:
-        keys = ["".join(c).strip(AROUND) for c in chunks]
-        hit = [d is not None and (keeper[k] != d or k in keys[:i]) for i, k in enumerate(keys)]
-        cut, i = [False] * len(hit), 0
-        while i < len(hit):
-            j = i
-            while j < len(hit) and hit[j]:
-                j += 1
-            run = chunks[i:j]
-            if sum(map(len, run)) >= 2 and len("".join(map("".join, run))) >= least:
-                cut[i:j] = [True] * (j - i)
-            i = max(j, i + 1)
-        out.append((d, "".join("".join(c) for c, x in zip(chunks, cut) if not x) if any(cut) else t, sum(cut)))
+    for d, t, lines, bare, chunks in docs:
+        gone, seen = set(), set()
+        for a, b in chunks if d is not None else ():
+            key = tuple(bare[a : b + 1])
+            owner, left, right = keeper[key]
+            if owner != d:
+                x = next((k for k, w in enumerate(left) if a - 1 - k < 0 or bare[a - 1 - k] != w), len(left))
+                y = next((k for k, w in enumerate(right) if b + 1 + k >= len(bare) or bare[b + 1 + k] != w), len(right))
+                gone |= set(range(a - x, b + y + 1))
+            elif key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        runs = []
+        for k in sorted(gone):
+            if runs and runs[-1][-1] == k - 1:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        cut = {k for r in runs if len("".join(lines[r[0] : r[-1] + 1]).strip(AROUND)) >= least for k in r}
+        out.append((d, "".join(x for k, x in enumerate(lines) if k not in cut) if cut else t, len(cut)))
     return out
 
 
 def prose(n, seed):
     r = random.Random(seed)
     w = words(n, seed)
-    return "".join(x + r.choice([" ", " ", " ", ", ", ". ", ".\n", " | "]) for x in w).strip()
+    return "".join(x + r.choice([" ", " ", " ", ", ", ". ", ".\n", " | ", "; "]) for x in w).strip()
 
 
 def test_line_dedup_is_its_rule(spark, make_docs, odd_texts):
@@ -67,6 +83,11 @@ def test_line_dedup_is_its_rule(spark, make_docs, odd_texts):
     for k in range(40):
         body = [prose(80, k), shared[k % 2] if k % 3 else "", prose(50, k + 500)]
         texts.append((200 + k, " ".join(body)))
+    for k in range(60):
+        r = random.Random(k)
+        body = [prose(r.randint(0, 20), k), r.choice([*shared, "Ha! " * 40, "a\n" * 33, "b?\tc!\r\n" * 9]), prose(r.randint(0, 9), k + 500), r.choice(shared)[: r.randint(50, 600)], prose(9, k + 700)]
+        texts.append((400 + k, " ".join(body)))
+    texts += [(500, prose(30, 2) + "\n" + prose(30, 2)), (500, prose(30, 2)), (None, shared[0]), (-9, ""), (-8, "one line only")]
     texts += [(290, "a\x01b. " + shared[0]), (291, "a\x01b. " + shared[0])]
     texts += [(300, prose(90, 1)), (301, prose(90, 1)), (302, prose(40, 2) + "\n" + prose(40, 2))]
     got = sorted((repr(r.doc_id), repr(r.new_text), r.n_removed) for r in dedup_lines(make_docs(texts)).collect())
