@@ -126,14 +126,17 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
         right = F.slice("bare", last + 2, F.greatest(behind - last, F.lit(0)))
         return F.when(F.array_contains("wanted", h), F.struct(h.alias("hash"), F.struct(_body(first, last).alias("body"), left.alias("left"), right.alias("right")).alias("known")))
 
-    return step.select(F.explode(F.transform("hashes", known)).alias("c")).where("c is not null").select("c.hash", "c.known").dropDuplicates(["hash"])
+    return step.select(F.explode(F.transform("hashes", known)).alias("c")).where("c is not null").select("c.hash", "c.known")
 
 
 def removable(texts: DataFrame) -> DataFrame:
     """own_id, gone (hash and known of the chunks that documents with smaller ids
     keep), twice of each document that has such chunks or has one twice."""
     table, keepers = repeated_chunks(texts)
-    known = written(kept_chunks(texts, keepers), "kept-chunks", release=True)
+    known = kept_chunks(texts, keepers)
+    if not table.groupBy("doc_id").count().where("count > 1").isEmpty():
+        known = known.dropDuplicates(["hash"])
+    known = written(known, "kept-chunks", release=True)
     each = table.select("doc_id", F.explode("hashes").alias("hash"))
     found = each.join(keepers.hint("shuffle_hash"), "hash").where("doc_id != keeper").select("doc_id", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"))
     # the join's own key makes Spark shuffle both sides for it, so that it can split a chunk of many documents
@@ -162,20 +165,25 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     step = with_chunks(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
     step = step.withColumn("bare", F.transform("lines", _bare)).withColumn("names", F.transform("gone", lambda x: x["hash"]))
 
+    def whole(x: Column, first: Column, last: Column) -> Column:
+        """The lines of a chunk and those beside it that stand beside the kept copy too."""
+        left, right = _matches(x["left"], lambda j: first - 1 - j), _matches(x["right"], lambda j: last + 1 + j)
+        return F.when(x["body"] == _body(first, last), F.struct((first - left).alias("first"), (last + right).alias("last")))
+
     def out(h: Column, k: Column) -> Column:
         first, last = F.get("starts", k), F.get("ends", k)
-        x = F.get("gone", F.array_position("names", h).cast("int") - 1)
-        whole = F.struct((first - _matches(x["left"], lambda j: first - 1 - j)).alias("first"), (last + _matches(x["right"], lambda j: last + 1 + j)).alias("last"))
+        # as an array of one or none, so that the place is looked up once
+        found = F.transform(F.filter(F.array(F.array_position("names", h).cast("int")), lambda p: p > 0), lambda p: whole(F.get("gone", p - 1), first, last))
         earlier = F.array_position("hashes", h).cast("int") - 1
         again = F.col("twice") & (earlier < k) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
-        return F.when(F.array_contains("names", h) & (x["body"] == _body(first, last)), whole).when(again, F.struct(first.alias("first"), last.alias("last")))
+        return F.coalesce(F.get(found, F.lit(0)), F.when(again, F.struct(first.alias("first"), last.alias("last"))))
 
     step = step.withColumn("out", F.when((F.size("names") >= 0) & (F.size("bare") >= 0), F.filter(F.transform("hashes", out), lambda x: x.isNotNull())))
-    step = step.withColumn("cut", F.array_sort(F.array_distinct(F.flatten(F.transform("out", lambda x: F.sequence(x["first"], x["last"]))))))
-    # runs of lines: each begins where the line before it stays
-    begins = lambda x, k: (k == 0) | (F.get("cut", k - 1) != x - 1)
-    step = step.withColumn("places", F.when(F.size("cut") > 0, F.filter(F.transform("cut", lambda x, k: F.when(begins(x, k), k)), lambda k: k.isNotNull())))
-    runs = F.transform("places", lambda a, r: F.struct(F.get("cut", a).alias("at"), (F.coalesce(F.get("places", r + 1), F.size("cut")) - a).alias("n")))
+    # neither first nor last lines ever fall: lines beside a chunk end where the next chunk would
+    begins = lambda k: (k == 0) | (F.get("out", k)["first"] > F.get("out", k - 1)["last"] + 1)
+    step = step.withColumn("places", F.when(F.size("out") > 0, F.filter(F.sequence(F.lit(0), F.size("out") - 1), begins)))
+    length = lambda a, r: F.get("out", F.coalesce(F.get("places", r + 1), F.size("out")) - 1)["last"] - F.get("out", a)["first"] + 1
+    runs = F.transform("places", lambda a, r: F.struct(F.get("out", a)["first"].alias("at"), length(a, r).alias("n")))
     text = lambda at, n: F.array_join(F.slice("lines", at + 1, n), "")
     step = step.withColumn("runs", F.when(F.size("places") > 0, runs))
     step = step.withColumn("goes", F.when(F.size("lines") > 0, F.filter("runs", lambda r: F.length(_bare(text(r["at"], r["n"]))) >= least_chars)))
