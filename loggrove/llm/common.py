@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a single machine, tests) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is made and set on a single machine (a local master, tests);
+    a cluster is asked for it.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="loggrove-")
         context.setCheckpointDir(root)
     return root

@@ -6,13 +6,14 @@ pieces; a passage within k edits of the item holds at least one piece as it is.
 An automaton finds the pieces in the whole text, and where one occurs Myers'
 bit-parallel distance decides about the item around it.
 
-The items go to the executors in blocks of at most ``block_chars`` characters:
-that bounds what is broadcast; a larger benchmark takes more passes.
+The items go to the executors in blocks of at most ``block_chars`` characters. A
+larger benchmark takes more passes, each written before the next block comes to
+the driver, so one block at a time is broadcast.
 
 Nulls: null or empty items match nothing, null texts match nothing and stay. An
 item too short for an error is searched exactly and must stand between word
 edges. Items that repeat each give their rows. An empty benchmark leaves all
-documents; an empty table gives no rows. Other columns are ignored, or kept
+documents; an empty table gives no rows. Very long texts are searched whole. Other columns are ignored, or kept
 unchanged by ``decontaminate``.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.llm.common import filtered, slices, whole_text
+from loggrove.llm.common import filtered, slices, whole_text, written
 
 RATE = 1 / 16
 BLOCK_CHARS = 4_000_000
@@ -104,9 +105,11 @@ class ItemMatcher:
                 if budget:
                     found = best_match(n, text[lo:hi], budget)
                 else:
-                    at = text.find(n, lo, hi)
-                    edge = at >= 0 and not (at and text[at - 1].isalnum()) and not text[at + len(n) : at + len(n) + 1].isalnum()
-                    found = (0, at - lo + len(n)) if edge else None
+                    at, found = text.find(n, lo, hi), None
+                    while at >= 0 and not found:
+                        inside = at and text[at - 1].isalnum() or text[at + len(n) : at + len(n) + 1].isalnum()
+                        found = None if inside else (0, at - lo + len(n))
+                        at = text.find(n, at + 1, hi)
                 if found and (best is None or found[0] < best[0]):
                     best = (found[0], lo + found[1])
             if best:
@@ -131,8 +134,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
     schema = "doc_id long, item_id long, edits long, end long, similarity double"
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    out = spark.createDataFrame([], schema)
+    out, shared = spark.createDataFrame([], schema), None
     for block in item_blocks(benchmark, block_chars):
+        if shared:
+            out = written(out, "contaminations")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -150,7 +156,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows whose text holds no item, all columns as they were."""
+    shared = None
     for block in item_blocks(benchmark, block_chars):
+        if shared:
+            docs = written(docs, "decontaminated")
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):

@@ -12,9 +12,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """doc_id, text, label of at most ``most_rows`` labelled rows, as a table.
 
     Rows whose crc32(doc_id) mod ``modulus`` is ``held_out`` never take part.
-    Which rows are taken depends on a hash of the id only, so the sample is the
-    same in every run. Its ids are the only thing that is broadcast, and
-    ``most_rows`` bounds them.
+    Labels without a document count for nothing. Which rows are taken depends on a
+    hash of the id only, so the sample is the same in every run. Its ids are the
+    only thing that is broadcast, and ``most_rows`` bounds them.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     ids = (
@@ -22,6 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold != held_out))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rows)
     )

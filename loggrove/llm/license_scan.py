@@ -9,7 +9,7 @@ matches the whole notice with at most e edits in a window around it.
 
 Nulls: a null text counts as empty; a null id stays null. A text without hits
 has n_base 0, empty labels, null places and score 0. Equal texts have equal
-results; repeated rows each get a row. An empty table gives no rows. Other
+results; repeated rows each get a row. Very long texts are scanned whole. An empty table gives no rows. Other
 columns are ignored.
 """
 
@@ -58,7 +58,7 @@ class LicenseScanner:
         self.fold = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
         self.is_word = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
         self.phrases = [(re.compile(rb"(?<![" + WORD + rb"])" + SEPARATORS.join(re.escape(w.encode()) for w in p.split()) + rb"(?![" + WORD + rb"])"), p.split()[-1].encode(), label) for p, label in phrases.items()]
-        self.notices = [(regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}(?![^ ])"), n, label, e) for n, label, e in notices]
+        self.notices = [(regex.compile(f"(?e)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}(?![^ ])"), n, label, e) for n, label, e in notices]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list] = {}
         for k, (_, n, _, e) in enumerate(self.notices):
@@ -76,7 +76,6 @@ class LicenseScanner:
     def fuzzy(self, words: str) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, length of the notice) in words joined by blanks."""
         windows: dict[int, list[list[int]]] = {}
-        counts: dict[int, int] = {}
         for end, (length, places) in self.seeds.iter(words):
             for k, a in places:
                 _, n, _, e = self.notices[k]
@@ -85,7 +84,7 @@ class LicenseScanner:
                 own = windows.setdefault(k, [])
                 # places that overlap are searched once
                 if own and lo <= own[-1][1]:
-                    own[-1][1] = max(hi, own[-1][1])
+                    own[-1][:] = min(lo, own[-1][0]), max(hi, own[-1][1])
                 else:
                     own.append([lo, hi])
         out = []

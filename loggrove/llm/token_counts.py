@@ -6,7 +6,7 @@ distinct texts that the table lacks are encoded, and their counts are appended.
 
 Nulls: a null text counts as empty, a null id stays null. Empty texts have 0
 tokens. Equal texts are encoded once and share their count; repeated rows each
-get a row. An empty table gives an empty result. Other columns are ignored.
+get a row. Very long texts are encoded whole. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +45,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     keyed = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("content_digest")), "digests")
     cached = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
-    # one row stands for all of a text; null ids are told apart by the digest
+    # one row stands for all of a text; rows that share an id, null ones too, are told apart by the digest
     missing = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id")).join(cached, "content_digest", "left_anti")
-    picked = texts.join(missing.hint("shuffle_hash"), texts.doc_id.eqNullSafe(missing.doc_id)).select("content_digest", "text", F.unhex(F.sha2("text", 256)).alias("own"))
+    named = texts.withColumn("own", F.unhex(F.sha2("text", 256)))
+    picked = named.join(missing.hint("shuffle_hash"), named.doc_id.eqNullSafe(missing.doc_id) & (named.own == missing.content_digest)).select("content_digest", "text")
 
     def encode(batches):
         words = encoder(tokenizer_path, False)
@@ -58,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
                     names=["content_digest", "tokenizer_digest", "n_tokens"],
                 )
 
-    fresh = picked.where("own = content_digest").select("content_digest", "text").mapInArrow(encode, CACHE_SCHEMA)
+    fresh = picked.mapInArrow(encode, CACHE_SCHEMA)
     # rows that repeat an id and its text would store their count twice
     fresh.groupBy("content_digest", "tokenizer_digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))

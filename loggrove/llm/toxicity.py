@@ -8,8 +8,8 @@ the driver (rows of some twenty numbers, at most ``most_rows``); scoring runs in
 the scan of the documents and needs no shuffle.
 
 Nulls: a null text counts as empty, a null id stays null and is not held out.
-Empty texts get a score like any other. Equal texts have equal scores. With no
-usable labels every score is 0. An empty table gives no rows. Columns other than
+Empty texts get a score like any other, very long ones are read whole, in slices. Equal texts have equal scores. With no
+labelled row of either kind every score is 0. An empty table gives no rows. Columns other than
 the text never enter a score.
 """
 
@@ -32,7 +32,9 @@ from loggrove.llm.labelled import labelled_sample
 INSULTS = "clown disgusting dumb fool idiot jerk loser moron pathetic scum stupid trash ugly worthless".split()
 SECOND_PERSON = "du dein deine dich dir euch euer ihr te tes ti toi ton tu tus tú u ur usted ustedes vos votre vous you your yours yourself".split()
 # Letters that are written as other signs.
-LOOKALIKES = str.maketrans("013457@$!|€", "oleastasiie")
+LOOKALIKES = "013457@$!|€", "oleastasiie"
+#: A one stands for an l or for an i.
+PLAIN = str.maketrans(*LOOKALIKES), str.maketrans(*LOOKALIKES) | {ord("1"): "i"}
 
 WORD_EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…¡¿–—"
 STEMS = (4, 5, 6)
@@ -76,8 +78,8 @@ def _word_row(raw: str, lexicon: Lexicon, second: set[str]) -> tuple[float, ...]
     marks = sum(not c.isalnum() for c in raw)
     odd = bool(word) and not word.isalpha()
     if odd and not own:
-        plain = low.translate(LOOKALIKES)
-        disguised = float(lexicon.weights.get(plain, 0) or lexicon.weights.get(re.sub(r"[\W\d_]", "", plain), 0) > 0)
+        spelled = [low.translate(t) for t in PLAIN]
+        disguised = float(any(w in lexicon.weights for w in spelled + [re.sub(r"[\W\d_]", "", w) for w in spelled]))
     return own, stem, disguised, float(low in second), float(len(word) > 1 and word.isupper()), float(raw.count("!")), float(marks), float(odd and not word.isdigit()), float(len(raw))
 
 
@@ -239,10 +241,15 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 8000) -> ToxicityModel:
     """Fits on at most ``most_rows`` labelled rows outside the held-out fold.
 
-    Three quarters of them grow the trees and the rest calibrates.
+    A hash of the id sets a quarter of them aside to calibrate; the lexicon and the
+    trees know the others alone. So at every size; only where a label is missing
+    in one of the parts, all rows serve as both.
     """
     sample = labelled_sample(docs, labels, "toxic", modulus, held_out, most_rows)
-    lexicon = learn_lexicon(sample)
+    apart = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) % (4 * modulus) / modulus) == 0
+    sizes = {(r["apart"], r["label"]) for r in sample.groupBy(apart.alias("apart"), "label").count().collect()}
+    split = len(sizes) == 4
+    lexicon = learn_lexicon(sample.where(~apart) if split else sample)
 
     def featurise(batches):
         make = FeatureMaker(lexicon)
@@ -255,16 +262,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out:
     rows = sample.mapInArrow(featurise, "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["label"] for r in rows], float)
-    if len(rows) < 20 or not 0 < y.mean() < 1:
+    if not len(rows) or not 0 < y.mean() < 1:
         return ToxicityModel(lexicon, None, None)
     x = np.array([r["x"] for r in rows])
     aside = remainder([r["doc_id"] for r in rows], 4 * modulus) // modulus == 0
-    if len(rows) < 400 or not 0 < y[aside].mean() < 1:
-        aside = np.ones(len(rows), bool)  # too few: calibrate on all
-        trees = Boosting(rounds=30, depth=2).fit(x, y)
-    else:
-        trees = Boosting().fit(x[~aside], y[~aside])
-    return ToxicityModel(lexicon, trees, isotonic(trees(x[aside]), y[aside]))
+    grow, check = (~aside, aside) if split else (aside | True, aside | True)
+    trees = Boosting().fit(x[grow], y[grow])
+    return ToxicityModel(lexicon, trees, isotonic(trees(x[check]), y[check]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -238,3 +238,19 @@ def test_pages_come_back_with_revisits(spark, tmp_path):
     back = read_archives(archives, folder).where("record_type = 'response'").select("page_id", F.col("payload").cast("string").alias("html"))
     assert {r.page_id: r.html for r in back.collect()} == {p: b.decode() for p, b in payload.items() if len(b) < 50 or last[b] == p}
     assert archives.count() > 4 and round_trip(pages.limit(0)).count() == 0
+
+
+def test_short_items_are_tried_at_each_place():
+    find = lambda item, text: [h[:2] for h in ItemMatcher([(1, item)])(text)]
+    assert find("a)", "a)a)") == find("a)", "xa) a)") == [(1, 0)] and find("a)", "xa)b a)b") == []
+    assert find("ab", "abab xab ab") == [(1, 0)]
+
+
+def test_blocks_of_a_benchmark_give_what_one_block_gives(spark, make_docs):
+    items = [(k, " ".join(words(12, 900 + k))) for k in range(9)] + [(3, " ".join(words(12, 903))), (None, "x y z"), (11, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(k, " ".join(words(30, k)) + " " + (items[k % 12][1] or "") + " tail") for k in range(24)] + [(5, items[0][1])] * 2)
+    one, many = (sorted(map(tuple, contaminations(docs, benchmark, block_chars=b).collect()), key=repr) for b in (10**6, 300))
+    assert one == many and len(one) > 20
+    left = [sorted(repr(r) for r in decontaminate(docs, benchmark, block_chars=b).collect()) for b in (10**6, 300)]
+    assert left[0] == left[1] and len(left[0]) == 4

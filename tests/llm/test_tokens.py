@@ -81,3 +81,13 @@ def test_pack_gives_every_id_once(spark, make_docs, odd_texts):
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 2048
     assert pack(make_docs([]), vocabulary(WORDS), end_id=1).agg(F.count("*")).first()[0] == 0
+
+
+def test_rows_that_share_an_id_do_not_meet_each_other(spark, make_docs, tmp_path):
+    # null ids and one id with many texts: each text is encoded once
+    docs = make_docs([(None if k % 2 else 3, f"text {k % 4000}") for k in range(8000)])
+    counts = token_counts(docs, vocabulary("byte_bpe_50k.json"), str(tmp_path / "cache"))
+    assert counts.count() == 8000 and counts.where("n_tokens is null").count() == 0
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 4000
+    again = token_counts(docs, vocabulary("byte_bpe_50k.json"), str(tmp_path / "cache"))
+    assert again.count() == 8000 and spark.read.parquet(str(tmp_path / "cache")).count() == 4000
