@@ -43,8 +43,9 @@ def signature_rows(column: pa.Array) -> np.ndarray:
 def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
     """Pairs (a, b) of nodes that follow one another in a tree's order and share
     its first ``depth`` values (4), or are within ``reach`` places and share as long
-    a prefix as one of them shares with its nearest neighbours: the depth adapts
-    to how crowded a region is. Tree t sorts by the sixteen values from t * depth
+    a prefix as both share with their nearest neighbours: the depth adapts to how
+    crowded a region is. What stands between two rows shares their prefix too, so
+    next neighbours make a chain of any region, however many it holds. Tree t sorts by the sixteen values from t * depth
     on, wrapping around. Rows at the borders of the sort's partitions meet in a
     step of their own."""
 
@@ -85,7 +86,9 @@ def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFra
                     if lag == 1:
                         best[1:], best[:-1] = prefix, np.maximum(best[:-1], prefix)
                         best[1:-1] = np.maximum(prefix[:-1], prefix[1:])
-                    same = prefix >= np.maximum(depth, np.minimum(best[lag:], best[:-lag]) if lag > 1 else 0)
+                    same = prefix >= np.maximum(depth, np.maximum(best[lag:], best[:-lag]) if lag > 1 else 0)
+                    if lag > 1:  # those that share all values are a chain of next neighbours
+                        same &= prefix < 16
                     same[: max(fresh - lag, 0)] = False
                     a.append(node[:-lag][same])
                     b.append(node[lag:][same])

@@ -12,7 +12,7 @@ the driver, so one block at a time is broadcast.
 
 Nulls: null or empty items match nothing, null texts match nothing and stay. An
 item too short for an error is searched exactly and must stand between word
-edges. Items that repeat each give their rows. An empty benchmark leaves all
+edges. Items that repeat each give their rows, those with a null id too. An empty benchmark leaves all
 documents; an empty table gives no rows. Very long texts are searched whole. Other columns are ignored, or kept
 unchanged by ``decontaminate``.
 """
@@ -126,7 +126,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // block_chars)
     for k in range(n):
-        yield sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect())
+        yield sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
