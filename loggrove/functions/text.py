@@ -52,9 +52,14 @@ def name_part(path: Column, index: int) -> Column:
     return F.try_element_at(parts, F.lit(index + 1 if index >= 0 else index))
 
 
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
 def number(text: Column) -> Column:
-    """DOUBLE of a text; NULL where it is no number or NaN."""
-    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    """DOUBLE of a text; NULL where it is no decimal number (a suffix as in 1d and
+    hexadecimal digits make none) or NaN."""
+    plain = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.nanvl(plain, F.lit(None).cast("double"))
 
 
 def wall_clock(micros: Column) -> Column:

@@ -21,7 +21,7 @@ def match_file_sets(files: DataFrame, path: str = "path") -> DataFrame:
     """match_id and the sorted files of each kind, for matches with a system
     file."""
     lists = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col(path)))).alias(k) for k in ("system", "drive", "rio")]
-    return classify_files(files, path).where("kind is not null").groupBy("match_id").agg(*lists).where(F.size("system") > 0)
+    return classify_files(files, path).where("kind is not null and match_id is not null").groupBy("match_id").agg(*lists).where(F.size("system") > 0)
 
 
 def orphan_files(files: DataFrame, path: str = "path") -> DataFrame:

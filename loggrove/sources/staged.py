@@ -28,8 +28,12 @@ def write_staged_parquet(records: DataFrame, path: str, mode: str = "overwrite")
 def read_staged(spark: SparkSession, path: str, missing: list[str] | None = MISSING) -> DataFrame:
     """filename, entry, data_type, value, timestamp of staged CSV, also gzipped.
     All columns are text or integers, never inferred; values in ``missing`` are
-    NULL."""
-    out = _csv(spark.read.schema(STAGED)).csv(path).withColumn("filename", last_segment(F.input_file_name()))
+    NULL. ``filename`` is that of the folder ``write_staged`` made, however many
+    part files it has; where there is none, the name of the file that is read."""
+    schema = T.StructType([*STAGED.fields, T.StructField("filename", T.StringType())])
+    folder = F.regexp_extract(F.input_file_name(), "/filename=([^/]+)/[^/]+$", 1)
+    own = F.when(folder != "", folder).otherwise(last_segment(F.input_file_name()))
+    out = _csv(spark.read.schema(schema)).csv(path).withColumn("filename", F.coalesce("filename", own))
     return out.withColumn("value", null_if_missing(F.col("value"), missing)) if missing else out
 
 

@@ -126,6 +126,22 @@ def test_both_clocks_agree(spark):
     assert sorted(map(repr, period.file_clock(rows, ["filename"]).collect())) == sorted(map(repr, period.file_clock_window(rows, ["filename"]).collect()))
 
 
+def test_staged_records_keep_their_file(spark, tmp_path):
+    both = long_frame(spark, "f1", [(1, "a", "double", "1"), (2, "b", "double", "2")]).unionByName(long_frame(spark, "007", [(3, "c", "double", "3")]))
+    staged.write_staged(both.repartition(3), str(tmp_path / "s"))
+    for path in (tmp_path / "s", tmp_path / "s" / "*"):
+        got = staged.read_staged(spark, str(path)).select("filename", "entry").collect()
+        assert sorted(map(tuple, got)) == [("007", "c"), ("f1", "a"), ("f1", "b")]
+
+
+def test_only_decimal_numbers_are_numbers(spark):
+    from loggrove.functions.text import number
+
+    texts = ["1", " 2.5e3 ", ".5", "7.", "-inf", "1d", "2f", "0x1p3", "", "nan", None, "1 2"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(number(F.col("t"))).collect()
+    assert [r[0] for r in got] == [1.0, 2500.0, 0.5, 7.0, float("-inf")] + [None] * 7
+
+
 def test_staged_records_round_trip(spark, tmp_path):
     rows = [(1, "e,1", "string", "x, |y|"), (2, "e2", "double", "nan"), (3, "e3", "string", 'q"t')]
     staged.write_staged(long_frame(spark, "f1", rows), str(tmp_path / "s"))
