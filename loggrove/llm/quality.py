@@ -7,14 +7,17 @@ layer turns these into a logit per chunk, and the mean logit of all chunks gives
 the text's probability. A filter is a table of one weight per place and byte,
 so its response is a sum of lookups.
 
-Fitting takes at most ``most_rows`` labelled rows and at most ``most_chunks``
-chunks of each, spread over the whole text; scoring covers every byte of every
-text and needs no shuffle.
+Fitting takes at most ``most_rows`` labelled rows of ``most_bytes`` together, each
+with its whole text. Every step of the descent draws texts, and of each text any of
+its chunks, so that texts weigh alike and long ones are seen throughout; there are as
+many steps whatever the number of rows. Rows set aside calibrate by their mean logit
+over all chunks. Scoring covers every byte of every text and needs no shuffle.
 
 Nulls: a null text counts as empty, a null id stays null and is not held out. An
-empty text is one chunk of padding and gets that chunk's score. Equal texts have
-equal scores. With no usable labels every score is 0.5. An empty table gives no
-rows. Columns other than the text never enter a score.
+empty text is one chunk of padding and gets that chunk's score. Very long texts are
+scored in parts of bounded size. Equal texts have equal scores. Where the rows that
+fit lack one of the labels every score is 0.5. An empty table gives no rows. Columns
+other than the text never enter a score.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loggrove.llm.common import slices, whole_text
@@ -92,40 +95,44 @@ class ByteNetwork:
         # rounded: matrix products of batches of different sizes differ in the last digits
         return np.round(1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30))), 6)
 
-    def fit(self, chunks: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 10, size: int = 128, rate: float = 0.01) -> ByteNetwork:
-        """Adam on the cross-entropy of single chunks (rows of CHUNK bytes)."""
+    def fit(self, texts: list[bytes], y: np.ndarray, draws: int = 150_000, size: int = 128, rate: float = 0.01) -> ByteNetwork:
+        """Adam on the cross-entropy of ``draws`` single chunks: of a text drawn at
+        random, a chunk drawn at random."""
         rng = np.random.default_rng(5)
+        raw, halves = padded(texts)
+        begins = np.cumsum(halves) - halves
         params = [self.table, self.w1, self.b1, self.w2, np.zeros(1, np.float32)]
         first = [np.zeros_like(p) for p in params]
         second = [np.zeros_like(p) for p in params]
         places = np.arange(0, CHUNK - WIDTH + 1, STRIDE)
-        n, step = len(chunks), 0
-        for epoch in range(epochs):
-            for rows in np.array_split(rng.permutation(n), max(1, n // size)):
-                x, step = chunks[rows], step + 1
-                r = self.table[0][x[:, places]]
-                for j in range(1, WIDTH):
-                    r += self.table[j][x[:, places + j]]
-                top = r.argmax(axis=1)
-                pooled = np.take_along_axis(r, top[:, None, :], axis=1)[:, 0]
-                h = np.maximum(pooled @ self.w1 + self.b1, 0)
-                z = h @ self.w2 + params[4][0]
-                d = ((1 / (1 + np.exp(-z)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-                dh = np.outer(d, self.w2) * (h > 0)
-                dp = dh @ self.w1.T
-                dt = np.zeros_like(self.table)
-                at = places[top]
-                f = np.broadcast_to(np.arange(FILTERS), top.shape)
-                for j in range(WIDTH):
-                    np.add.at(dt[j], (x[np.arange(len(rows))[:, None], at + j], f), dp)
-                grads = [dt, pooled.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(keepdims=True)]
-                slow = rate * (1 - 0.9 * epoch / epochs)
-                for p, g, m, v in zip(params, grads, first, second):
-                    m *= 0.9
-                    m += 0.1 * g
-                    v *= 0.99
-                    v += 0.01 * g * g
-                    p -= slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+        steps = draws // size
+        for step in range(1, steps + 1):
+            rows = rng.integers(len(texts), size=size)
+            chunk = begins[rows] + rng.integers(halves[rows] - 1)
+            x = raw[chunk[:, None] * HALF + np.arange(CHUNK)]
+            r = self.table[0][x[:, places]]
+            for j in range(1, WIDTH):
+                r += self.table[j][x[:, places + j]]
+            top = r.argmax(axis=1)
+            pooled = np.take_along_axis(r, top[:, None, :], axis=1)[:, 0]
+            h = np.maximum(pooled @ self.w1 + self.b1, 0)
+            z = h @ self.w2 + params[4][0]
+            d = ((1 / (1 + np.exp(-z)) - y[rows]) / size).astype(np.float32)
+            dh = np.outer(d, self.w2) * (h > 0)
+            dp = dh @ self.w1.T
+            dt = np.zeros_like(self.table)
+            at = places[top]
+            f = np.broadcast_to(np.arange(FILTERS), top.shape)
+            for j in range(WIDTH):
+                np.add.at(dt[j], (x[np.arange(size)[:, None], at + j], f), dp)
+            grads = [dt, pooled.T @ dh, dh.sum(axis=0), h.T @ d, d.sum(keepdims=True)]
+            slow = rate * (1 - 0.9 * step / steps)
+            for p, g, m, v in zip(params, grads, first, second):
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.99
+                v += 0.01 * g * g
+                p -= slow * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         self.b2 = float(params[4][0])
         return self
 
@@ -147,45 +154,23 @@ class ByteNetwork:
         return self
 
 
-def training_chunks(text: bytes, most: int) -> list[bytes]:
-    """At most ``most`` chunks, spread evenly over the whole text."""
-    halves = max(2, -(-len(text) // HALF))
-    full = text.ljust(halves * HALF, b"\0")
-    starts = np.unique(np.linspace(0, halves - 2, min(most, halves - 1)).astype(int))
-    return [full[s * HALF : s * HALF + CHUNK] for s in starts]
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, most_rows: int = 4000, most_chunks: int = 6) -> ByteNetwork | None:
-    """Fits on at most ``most_rows`` labelled rows outside the held-out fold and
-    ``most_chunks`` chunks of each; a fifth of the rows calibrates."""
+def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, most_rows: int = 4000, most_bytes: int = 1 << 26) -> ByteNetwork | None:
+    """Fits on labelled rows outside the held-out fold: at most ``most_rows``, in
+    the order of a hash of their ids, as far as their texts have ``most_bytes``
+    together. Every fifth of them calibrates, the others teach the network."""
     sample = labelled_sample(docs, labels, "quality", modulus, held_out, most_rows)
-
-    def cut(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                chunks = [training_chunks(t, most_chunks) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), pa.array([b"".join(c) for c in chunks], pa.binary())], names=["doc_id", "label", "chunks"])
-
-    rows = sample.mapInArrow(cut, "doc_id long, label int, chunks binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["chunks"])))
-    y = np.array([r["label"] for r in rows], np.float32)
-    if len(rows) < 20 or not 0 < y.mean() < 1:
+    # one window over most_rows rows at most
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = sample.withColumn("total", F.sum(F.octet_length("text")).over(order)).where(F.col("total") <= most_bytes)
+    rows = sized.select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
+    texts, y = [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32)
+    aside = np.arange(len(rows)) % 5 == 4
+    if not 0 < y[~aside].sum() < (~aside).sum():
         return None
-    cut_up = [np.frombuffer(bytes(r["chunks"]), np.uint8).reshape(-1, CHUNK) for r in rows]
-    aside = np.arange(len(rows)) % 5 == 0 if len(rows) >= 200 else np.zeros(len(rows), bool)
-    own = [k for k in range(len(rows)) if not aside[k]]
-    x = np.concatenate([cut_up[k] for k in own])
-    label = np.concatenate([np.full(len(cut_up[k]), y[k]) for k in own])
-    # each text weighs as much as any other
-    weight = np.concatenate([np.full(len(cut_up[k]), 1 / len(cut_up[k]), np.float32) for k in own])
-    weight /= weight.mean()
-    epochs = int(np.clip(150_000 // max(len(x), 1), 6, 40))
-    net = ByteNetwork.fresh().fit(x, label, weight, epochs=epochs)
-    test = [k for k in range(len(rows)) if aside[k]] or own
-    if 0 < y[test].mean() < 1:
-        z = np.array([net.logits([cut_up[k][:1].tobytes()])[0] if len(cut_up[k]) == 1 else np.mean([net.logits([c.tobytes()])[0] for c in cut_up[k]]) for k in test])
-        net.calibrate(z, y[test])
-    return net
+    net = ByteNetwork.fresh().fit([t for t, a in zip(texts, aside) if not a], y[~aside])
+    test = [t for t, a in zip(texts, aside) if a]
+    return net.calibrate(net.logits(test) if test else np.zeros(0), y[aside])
 
 
 def score_quality(docs: DataFrame, net: ByteNetwork | None, modulus: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:

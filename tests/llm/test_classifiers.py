@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loggrove.llm.quality import CHUNK, ByteNetwork, fit_quality, padded, score_quality, training_chunks
+from loggrove.llm.quality import CHUNK, FILTERS, HALF, STRIDE, WIDTH, ByteNetwork, fit_quality, padded, score_quality
 from loggrove.llm.toxicity import Boosting, drop_toxic, fit_toxicity, isotonic, score_toxicity
 from tests.llm.conftest import words
 
@@ -86,7 +86,77 @@ def test_network_scores_each_text_as_if_alone():
     assert np.allclose(together, [net.scores([t])[0] for t in texts], atol=1e-3)
     raw, halves = padded(texts)
     assert len(raw) == halves.sum() * CHUNK // 2 and halves[0] == 2
-    assert all(len(c) == CHUNK for c in training_chunks(b"q" * 5000, 6)) and len(training_chunks(b"", 6)) == 1
+
+
+def plain_logit(net, text):
+    """The network one chunk, filter and place at a time."""
+    halves = max(2, -(-len(text) // HALF))
+    full = text + bytes(halves * HALF - len(text))
+    logits = []
+    for c in range(halves - 1):
+        # a filter that begins in a chunk may end in what follows it in the text
+        places = [p for p in range(c * HALF, c * HALF + CHUNK, STRIDE) if p + WIDTH <= len(full)]
+        largest = [max(sum(float(net.table[j][full[p + j], f]) for j in range(WIDTH)) for p in places) for f in range(FILTERS)]
+        hidden = [max(sum(v * float(net.w1[f, k]) for f, v in enumerate(largest)) + float(net.b1[k]), 0) for k in range(len(net.b1))]
+        logits.append(sum(v * float(net.w2[k]) for k, v in enumerate(hidden)) + net.b2)
+    return sum(logits) / len(logits)
+
+
+def test_network_equals_a_plain_convolution():
+    net = ByteNetwork.fresh()
+    texts = [b"", b"short", "größer ".encode() * 30, bytes(range(256)) + b"tail"]
+    assert np.allclose(net.logits(texts), [plain_logit(net, t) for t in texts], atol=1e-3)
+
+
+def test_fit_sees_all_of_a_long_text():
+    # the only sign of a label stands in the second half of the text
+    texts, y = [], []
+    for k in range(60):
+        pad = [" ".join(words(20, 1000 * k + j)) for j in range(40)]
+        for j in range(20, 40):
+            pad[j] = "ZZQQXX" * 20 if k % 2 else pad[j]
+        texts.append(" ".join(pad).encode())
+        y.append(k % 2)
+    net = ByteNetwork.fresh().fit(texts[:40], np.array(y[:40], np.float32), draws=20_000)
+    z = net.logits(texts[40:])
+    assert area(z, np.array(y[40:])) == 1.0
+
+
+@pytest.mark.parametrize("n", [4, 12, 60])
+def test_few_labels_follow_the_same_rule(n, spark, make_docs):
+    docs = make_docs([(d, ("good text here " if d % 2 else "BAD!! BAD!! ") * 5) for d in range(4 * n)])
+    labels = spark.createDataFrame([(d, d % 2, 1 - d % 2) for d in range(n)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.score for r in score_quality(docs, fit_quality(docs, labels)).collect()}
+    assert found[1] > found[0] and fit_quality(docs, labels, most_bytes=0) is None
+
+
+def plain_tree(trees, x):
+    total = trees.start
+    for tree in trees.trees:
+        node = 0
+        while tree[node][0] >= 0:
+            node = 2 * node + (1 if x[tree[node][0]] <= tree[node][1] else 2)
+        total += tree[node][2]
+    return total
+
+
+def test_trees_and_calibration_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(float)
+    trees = Boosting(rounds=10).fit(x, y)
+    z = trees(x)
+    assert np.allclose(z, [plain_tree(trees, r) for r in x])
+    # isotonic rates by the min-max formula over distinct order statistics, ties of z kept in their order
+    order = np.argsort(z, kind="stable")
+    s = y[order]
+    best = [max(min(s[a : b + 1].mean() for b in range(k, len(s))) for a in range(k + 1)) for k in range(len(s))]
+    knots, rates = isotonic(z, y)
+    groups = {}
+    for v in best:
+        groups[round(v, 9)] = groups.get(round(v, 9), 0) + 1
+    expected = [(v * n + 0.5 * y.mean()) / (n + 0.5) for v, n in sorted(groups.items())]
+    assert np.allclose(sorted(set(np.round(rates, 6))), sorted(set(np.round(np.clip(np.maximum.accumulate(expected), 1e-4, 1 - 1e-4), 6))))
 
 
 def test_boosting_and_isotonic():
