@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loggrove.functions.text import seconds, wall_clock, without_prefix
+from loggrove import schemas
 from loggrove.operators import file_sets, ledger, period, routing, typed, wide
+from loggrove.plans import pipelines
 from loggrove.sources.container import resolve_entries
 
 # The metric that each event type stands for; signup is one outside the five.
@@ -212,6 +214,42 @@ def wall_clock_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.date_format(wall_clock(F.col("us")), "yyyy-MM-dd HH:mm:ss").alias("at"), F.round(seconds(F.col("us")), 3).alias("seconds"))
 
 
+def _map(spark: SparkSession, subsystem: str, metrics: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame([(e, subsystem, None, None, "LEAD MOTOR", m) for e, m in metrics.items()], schemas.DEVICE_MAP)
+
+
+def system_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the whole system import; a purchase states the match."""
+    kind = F.col("event_type")
+    signal, info = kind.isin("signup", "error"), kind == "purchase"
+    at = _micros()
+    records = _table(spark, sf_dir, "events").select(
+        F.concat_ws("_", F.col("user_id").cast("string"), F.floor(at / F.lit(604_800_000_000)).cast("string")).alias("filename"),
+        F.col("event_id").cast("long").alias("seq"),
+        F.when(signal, "DS:enabled").when(info, "NT:/FMSInfo/MatchNumber").otherwise(F.concat(F.lit("NT:R/"), kind)).alias("entry"),
+        F.when(signal, "boolean").when(info, "int64").otherwise("double").alias("data_type"),
+        F.when(kind == "signup", "True").when(kind == "error", "False").when(info, (F.col("event_id") % 90).cast("string")).otherwise(F.col("value").cast("string")).alias("value"),
+        at.alias("timestamp"),
+    )
+    prefixes = routing.Prefixes("MetaData", "NT:R/", "NT:/P/", "NT:/FMSInfo/", ("NT:/pv/",), ("NT:/pv/",))
+    tables = pipelines.ingest_system(records, _map(spark, "ELEVATOR", {"click": "VOLTAGE", "view": "POSITION"}), spark.createDataFrame([], schemas.VISION_MAP), prefixes, "2025")
+    stats = [f"{s}_{m}" for m in ("voltage", "position") for s in ("avg", "min", "max", "stddev")]
+    return _rounded(tables["device_stats"].select("filename", "event_year", "match_id", "subsystem", "component", *stats))
+
+
+def device_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the import of device logs, each with its own map."""
+    name = F.concat(F.when(F.col("user_id") % 3 == 0, "rio_").otherwise("drive_"), F.col("user_id").cast("string"))
+    records = _table(spark, sf_dir, "events").select(name.alias("filename"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("entry"), F.lit("double").alias("data_type"), F.col("value").cast("string").alias("value"), _micros().alias("timestamp"))
+    tables = pipelines.ingest_devices(records, _map(spark, "DRIVE", {"click": "VOLTAGE", "error": "CURRENT"}), _map(spark, "RIO", {"click": "VELOCITY", "view": "POSITION"}))
+    return _rounded(tables["device_stats"].drop(*schemas.MATCH_KEYS, "assembly", "subassembly"))
+
+
+def metadata_of_match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("match_id"), F.col("c_mktsegment").alias("event"))
+    return pipelines.match_files(_files(spark, sf_dir), metadata)
+
+
 QUERIES = {
     "device_stats": device_stats,
     "device_telemetry": device_telemetry,
@@ -239,6 +277,9 @@ QUERIES = {
     "orphan_files": orphan_files,
     "pipelines_union": pipelines_union,
     "wall_clock": wall_clock_times,
+    "system_import": system_import,
+    "device_import": device_import,
+    "match_files": metadata_of_match_files,
 }
 
 _CASE = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in METRIC_OF.items()) + " END"
@@ -267,6 +308,8 @@ def _wide_sql(source: str, keys: list[str], columns: dict[str, tuple[str, str]])
     return f"{source} SELECT {', '.join('s.' + k for k in keys)}, {values} FROM (SELECT DISTINCT {', '.join(keys)} FROM v WHERE metric IS NOT NULL) s{joins}"
 
 
+_TWO_STATS = ", ".join(f"round({f}(v) FILTER (metric = '{m.upper()}'), 6) AS {a}_{m}" for m in ("voltage", "position") for a, f in (("avg", "avg"), ("min", "min"), ("max", "max"), ("stddev", "stddev_samp")))
+
 ORACLE_SQL = {
     "device_stats": f"SELECT user_id, {_STATS} FROM (SELECT user_id, {_CASE} AS metric, value - CASE WHEN event_type = 'purchase' THEN 50 ELSE 0 END AS v FROM events) WHERE metric IS NOT NULL GROUP BY user_id",
     "device_telemetry": _wide_sql(
@@ -311,4 +354,14 @@ ORACLE_SQL = {
     "orphan_files": _FILES + "SELECT path, kind, match_id FROM f WHERE kind IN ('drive', 'rio') AND match_id NOT IN (SELECT match_id FROM f WHERE kind = 'system')",
     "pipelines_union": "SELECT l_orderkey, l_linenumber, 'drive' AS filename, l_quantity, NULL::DOUBLE AS l_tax FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_linenumber, 'rio', NULL, l_tax FROM lineitem WHERE l_returnflag = 'R'",
     "wall_clock": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, round(epoch_us(ts) / 1e6, 3) AS seconds FROM events",
+    "system_import": _SIGNALS + f""", i AS (SELECT user_id, week, CAST(arg_max(event_id % 90, event_id) AS VARCHAR) AS match_id FROM s WHERE event_type = 'purchase' GROUP BY ALL),
+ t AS (SELECT s.user_id, s.week, CASE s.event_type WHEN 'click' THEN 'VOLTAGE' ELSE 'POSITION' END AS metric, x.value AS v FROM s JOIN events x ON x.event_id = s.event_id JOIN p ON p.user_id = s.user_id AND p.week = s.week
+ WHERE s.event_type IN ('click', 'view') AND s.timestamp > p.enable_ts AND s.timestamp < p.terminated_ts)
+ SELECT t.user_id || '_' || t.week AS filename, '2025' AS event_year, i.match_id, 'ELEVATOR' AS subsystem, 'LEAD MOTOR' AS component, {_TWO_STATS}
+ FROM t LEFT JOIN i ON i.user_id = t.user_id AND i.week = t.week GROUP BY ALL""",
+    "device_import": f"""WITH t AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'rio_' ELSE 'drive_' END || user_id AS filename, CASE WHEN user_id % 3 = 0 THEN 'RIO' ELSE 'DRIVE' END AS subsystem, value AS v,
+ CASE WHEN user_id % 3 = 0 THEN CASE event_type WHEN 'click' THEN 'VELOCITY' WHEN 'view' THEN 'POSITION' END ELSE CASE event_type WHEN 'click' THEN 'VOLTAGE' WHEN 'error' THEN 'CURRENT' END END AS metric FROM events)
+ SELECT filename, subsystem, 'LEAD MOTOR' AS component, {_STATS} FROM t WHERE metric IS NOT NULL GROUP BY ALL""",
+    "match_files": _FILES + """SELECT f.match_id, f.path, regexp_extract(f.path, '[^/]+$') AS filename, c.c_mktsegment AS event FROM f LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = f.match_id
+ WHERE f.kind IS NOT NULL AND f.match_id IN (SELECT match_id FROM f WHERE kind = 'system')""",
 }

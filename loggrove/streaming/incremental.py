@@ -18,23 +18,28 @@ from loggrove.schemas import LEDGER, conform
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The last attempt for each file; none where there is no ledger yet."""
+def _attempts(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the ledger; none where there is no ledger yet."""
     try:
-        rows = spark.read.schema(LEDGER).parquet(path)
+        return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = spark.createDataFrame([], LEDGER)
-    return latest(rows, ["filename"], ["attempt_id", "success"])
+        return spark.createDataFrame([], LEDGER)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The last attempt for each file."""
+    return latest(_attempts(spark, path), ["filename"], ["attempt_id", "success"])
 
 
 def import_new(spark: SparkSession, path: str, ledger: str, checkpoint: str, load: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Starts a run over the files under ``path`` that no run has seen, and ends
     when they are done. ``load(files, attempt)`` gets files (path, filename,
     file_hash, content) whose content was not imported before, one row for each
-    content; it must write so that a second call for the same attempt replaces
-    the first. The ledger has an attempt before it and a success after it."""
+    content; it must write so that a second call for the same files replaces the
+    first. The ledger has an attempt before it and a success after it, numbered
+    on from the ledger's last one, whatever the checkpoint."""
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
@@ -44,9 +49,10 @@ def import_new(spark: SparkSession, path: str, ledger: str, checkpoint: str, loa
         chosen = session.createDataFrame(chosen.collect(), chosen.schema)  # names of this batch's files
         if chosen.isEmpty():
             return
-        conform(attempt(chosen, 2 * number, False), LEDGER).write.mode("append").parquet(ledger)
-        load(hashed.join(F.broadcast(chosen.select("path")), "path", "left_semi"), number)
-        conform(attempt(chosen, 2 * number + 1, True), LEDGER).write.mode("append").parquet(ledger)
+        first = 1 + _attempts(session, ledger).agg(F.coalesce(F.max("attempt_id"), F.lit(-1))).first()[0]
+        conform(attempt(chosen, first, False), LEDGER).write.mode("append").parquet(ledger)
+        load(hashed.join(F.broadcast(chosen.select("path")), "path", "left_semi"), first)
+        conform(attempt(chosen, first + 1, True), LEDGER).write.mode("append").parquet(ledger)
 
     files = spark.readStream.schema(BINARY_FILE).format("binaryFile").option("maxFilesPerTrigger", 1000).load(path)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
