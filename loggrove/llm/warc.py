@@ -144,13 +144,14 @@ def read_records(stream: BinaryIO) -> Iterator[tuple]:
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, digest, refers_to of the pages whose payload (of at least
-    ``least_bytes``) a page with a larger id has too. Only ids and digests are
+    ``least_bytes``) a page with a larger id has too. Payloads are equal if their
+    SHA-256 is, as SHA-1 collisions can be made. Only ids and digests are
     shuffled, and a payload of many pages is split."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    keyed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("n")), "payloads")
+    keyed = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("n")), "payloads")
     groups = keyed.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    groups = groups.select(F.substring("digest", 1, 20).alias("own"), "refers_to")
-    joined = keyed.where(F.col("n") >= least_bytes).withColumn("own", F.substring("digest", 1, 20)).join(groups.hint("merge"), "own")
+    groups = groups.select(F.substring("digest", 1, 32).alias("own"), "refers_to")
+    joined = keyed.where(F.col("n") >= least_bytes).withColumn("own", F.substring("digest", 1, 32)).join(groups.hint("merge"), "own")
     return joined.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
@@ -192,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     known = revisits(pages, least_bytes).select(F.col("page_id").alias("own"), F.col("digest").alias("own_digest"), "refers_to")
-    same = rows.page_id.eqNullSafe(known.own) & (F.unhex(F.sha1(rows.payload)) == known.own_digest)
+    same = rows.page_id.eqNullSafe(known.own) & (F.unhex(F.sha2(rows.payload, 256)) == known.own_digest)
     marked = rows.join(known.hint("shuffle_hash"), same, "left").select("page_id", "url", "payload", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     return written(marked.mapInArrow(run, ARCHIVES), "archives")
 
