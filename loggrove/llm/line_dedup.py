@@ -50,31 +50,43 @@ BEGIN_BITS, END_BITS = 3, 12
 LONGEST = 5
 
 
-def _lines(text: Column) -> Column:
-    """The lines of a text. Literal replacements and a split at one character
-    take a fraction of the time of the pattern, which cuts texts with other white
-    space or with the mark itself."""
+def with_lines(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Adds the lines of the text in ``column``, and whether it has white space
+    other than blanks and line feeds (``odd``).
+
+    Literal replacements and a split at one character take a fraction of the time
+    of the pattern, which cuts texts with other white space or with the mark
+    itself."""
+    text = F.col(column)
     marked = text
     for end in LINE_ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    slow = F.contains(text, F.lit(MARK))
+    odd = F.contains(text, F.lit(MARK))
     for space in OTHER_SPACES:
-        slow = slow | F.contains(text, F.lit(space))
-    return F.filter(F.when(slow, F.split(text, LINE_END_PATTERN, -1)).otherwise(F.split(marked, MARK, -1)), lambda x: x != "")
+        odd = odd | F.contains(text, F.lit(space))
+    step = texts.withColumn("odd", odd)
+    step = step.withColumn("pieces", F.when(F.col("odd"), F.split(text, LINE_END_PATTERN, -1)).otherwise(F.split(marked, MARK, -1)))
+    # a line end at the end of the text has nothing behind it
+    return step.withColumn("lines", F.when(F.element_at("pieces", -1) == "", F.slice("pieces", 1, F.size("pieces") - 1)).otherwise(F.col("pieces"))).drop("pieces")
 
 
 def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(AROUND))
 
 
-def with_chunks(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Adds for the text in ``column`` the arrays lines, starts (the numbers of the
-    lines at which chunks begin), ends and hashes of the chunks.
+def _bare_line(line: Column) -> Column:
+    """``_bare`` of one of the lines. Blanks alone are trimmed much faster, and
+    a line feed stands at the end of a line only."""
+    return F.when(F.col("odd") | F.endswith(line, F.lit("\n")), _bare(line)).otherwise(F.trim(line))
+
+
+def with_chunks(texts: DataFrame, line_hashes: Column) -> DataFrame:
+    """Adds the arrays starts (the numbers of the lines at which chunks begin), ends
+    and hashes of the chunks.
 
     No array that is computed here is used once only, inside a lambda: Spark
     would move its expression there and compute it for each element."""
-    step = texts.withColumn("lines", _lines(F.col(column)))
-    step = step.withColumn("line_hashes", F.transform("lines", lambda x: F.xxhash64(_bare(x))))
+    step = texts.withColumn("line_hashes", line_hashes)
     n = F.size("line_hashes")
     step = step.withColumn("rolling", F.zip_with("line_hashes", F.slice("line_hashes", 2, F.greatest(n, F.lit(1))), lambda x, y: F.xxhash64(x, y)))
     begins = lambda i: (i == 0) | (F.get("rolling", i).bitwiseAND(F.lit(BEGIN_BITS)) != 0)
@@ -101,12 +113,21 @@ def _body(first: Column, last: Column) -> Column:
 
 
 def repeated_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, hashes (distinct) and twice (whether a chunk occurs twice in
-    it) of each document; hash and keeper (the smallest id) of each chunk hash that
-    several documents have."""
-    chunks = with_chunks(texts.where("doc_id is not null"))
-    distinct = chunks.withColumn("distinct", F.array_distinct("hashes"))
-    table = written(distinct.select("doc_id", F.col("distinct").alias("hashes"), (F.size("distinct") < F.size("hashes")).alias("twice")), "chunk-hashes")
+    """Two tables: of each document doc_id, hashes (distinct), spots and lookup; of
+    each chunk hash that several documents have hash and keeper (the smallest id).
+
+    A spot is a chunk's first line, times 8, and how many lines follow it. With
+    ``lookup`` there are none, as a chunk occurs twice or rows share the id."""
+    chunks = with_chunks(with_lines(texts.where("doc_id is not null")), F.transform("lines", lambda x: F.xxhash64(_bare_line(x))))
+    step = chunks.withColumn("distinct", F.array_distinct("hashes")).withColumn("lookup", F.size("distinct") < F.size("hashes"))
+    spots = F.when(F.col("lookup") | (F.size("ends") < 1), F.array().cast("array<int>")).otherwise(F.zip_with("starts", "ends", lambda s, e: s * 8 + (e - s)))
+    table = written(step.select("doc_id", F.col("distinct").alias("hashes"), spots.alias("spots"), "lookup"), "chunk-hashes")
+    shared = table.groupBy("doc_id").count().where("count > 1")
+    if not shared.isEmpty():
+        shared = shared.select(F.col("doc_id").alias("shared_id"))
+        table = table.join(shared, F.col("doc_id") == F.col("shared_id"), "left").withColumn("lookup", F.col("lookup") | F.col("shared_id").isNotNull())
+        table = table.select("doc_id", "hashes", F.when(F.col("lookup"), F.array().cast("array<int>")).otherwise(F.col("spots")).alias("spots"), "lookup")
+        table = written(table, "chunk-hashes")
     each = table.select("doc_id", F.explode("hashes").alias("hash"))
     several = each.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper != other").select("hash", "keeper")
     return table, written(several, "chunk-keepers", release=True)
@@ -116,8 +137,9 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
     """hash and known (body, and the lines before and behind it up to the next chunk
     on each side, nearest first) of each chunk in the document that keeps it."""
     wanted = keepers.groupBy(F.col("keeper").alias("own_id")).agg(F.collect_list("hash").alias("wanted"))
-    step = with_chunks(texts.join(wanted.hint("shuffle_hash"), texts.doc_id == wanted.own_id).select("text", "wanted"))
-    step = step.withColumn("bare", F.transform("lines", _bare)).withColumn("total", F.size("bare"))
+    step = with_lines(texts.join(wanted.hint("shuffle_hash"), texts.doc_id == wanted.own_id).select("text", "wanted"))
+    step = step.withColumn("bare", F.transform("lines", _bare_line)).withColumn("total", F.size("bare"))
+    step = with_chunks(step, F.transform("bare", lambda x: F.xxhash64(x)))
 
     def known(h: Column, k: Column) -> Column:
         first, last = F.get("starts", k), F.get("ends", k)
@@ -130,20 +152,21 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
 
 
 def removable(texts: DataFrame) -> DataFrame:
-    """own_id, gone (hash and known of the chunks that documents with smaller ids
-    keep), twice of each document that has such chunks or has one twice."""
+    """own_id, gone (spot, hash and known of the chunks that documents with smaller
+    ids keep, by spot) and lookup of each document that has such chunks or has one
+    twice."""
     table, keepers = repeated_chunks(texts)
     known = kept_chunks(texts, keepers)
-    if not table.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not table.where("lookup").isEmpty():  # the rows of an id may keep a chunk each
         known = known.dropDuplicates(["hash"])
     known = written(known, "kept-chunks", release=True)
-    each = table.select("doc_id", F.explode("hashes").alias("hash"))
-    found = each.join(keepers.hint("shuffle_hash"), "hash").where("doc_id != keeper").select("doc_id", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"))
+    each = table.select("doc_id", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("spots").alias("spot"))))
+    found = each.join(keepers.hint("shuffle_hash"), "hash").where("doc_id != keeper").select("doc_id", "spot", F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"))
     # the join's own key makes Spark shuffle both sides for it, so that it can split a chunk of many documents
-    known = known.select(F.col("hash").bitwiseXOR(F.lit(-1)).alias("own"), F.struct("hash", "known.*").alias("chunk"))
-    marks = found.join(known.hint("merge"), "own").select("doc_id", "chunk", F.lit(False).alias("twice"))
-    marks = marks.unionByName(table.where("twice").select("doc_id", F.lit(None).cast(known.schema["chunk"].dataType).alias("chunk"), "twice"))
-    return written(marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list("chunk").alias("gone"), F.max("twice").alias("twice")), "removable", release=True)
+    known = known.withColumn("own", F.col("hash").bitwiseXOR(F.lit(-1)))
+    marks = found.join(known.hint("merge"), "own").select("doc_id", F.struct("spot", "hash", "known.*").alias("chunk"), F.lit(False).alias("lookup"))
+    marks = marks.unionByName(table.where("lookup").select("doc_id", F.lit(None).cast(marks.schema["chunk"].dataType).alias("chunk"), "lookup"))
+    return written(marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.sort_array(F.collect_list("chunk")).alias("gone"), F.max("lookup").alias("lookup")), "removable", release=True)
 
 
 def _matches(expected: Column, at) -> Column:
@@ -162,23 +185,30 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     marks = removable(texts)
     step = rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks.own_id, "left")
     # texts without a mark are not cut up again
-    step = with_chunks(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
-    step = step.withColumn("bare", F.transform("lines", _bare)).withColumn("names", F.transform("gone", lambda x: x["hash"]))
+    step = with_lines(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
+    step = step.withColumn("bare", F.transform("lines", _bare_line))
+    # where spots say nothing, chunks are made and looked up again
+    step = with_chunks(step, F.when(F.col("lookup"), F.transform("bare", lambda x: F.xxhash64(x))))
+    step = step.withColumn("names", F.when(F.col("lookup"), F.transform("gone", lambda x: x["hash"])))
 
     def whole(x: Column, first: Column, last: Column) -> Column:
         """The lines of a chunk and those beside it that stand beside the kept copy too."""
         left, right = _matches(x["left"], lambda j: first - 1 - j), _matches(x["right"], lambda j: last + 1 + j)
         return F.when(x["body"] == _body(first, last), F.struct((first - left).alias("first"), (last + right).alias("last")))
 
+    def at_spot(x: Column) -> Column:
+        first = F.shiftright(x["spot"], 3)
+        return whole(x, first, first + x["spot"].bitwiseAND(F.lit(7)))
+
     def out(h: Column, k: Column) -> Column:
         first, last = F.get("starts", k), F.get("ends", k)
         # as an array of one or none, so that the place is looked up once
         found = F.transform(F.filter(F.array(F.array_position("names", h).cast("int")), lambda p: p > 0), lambda p: whole(F.get("gone", p - 1), first, last))
         earlier = F.array_position("hashes", h).cast("int") - 1
-        again = F.col("twice") & (earlier < k) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
+        again = (earlier < k) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
         return F.coalesce(F.get(found, F.lit(0)), F.when(again, F.struct(first.alias("first"), last.alias("last"))))
 
-    step = step.withColumn("out", F.when((F.size("names") >= 0) & (F.size("bare") >= 0), F.filter(F.transform("hashes", out), lambda x: x.isNotNull())))
+    step = step.withColumn("out", F.when(F.size("bare") >= 0, F.filter(F.when(F.size("names") >= 0, F.transform("hashes", out)).otherwise(F.transform("gone", at_spot)), lambda x: x.isNotNull())))
     # neither first nor last lines ever fall: lines beside a chunk end where the next chunk would
     begins = lambda k: (k == 0) | (F.get("out", k)["first"] > F.get("out", k - 1)["last"] + 1)
     step = step.withColumn("places", F.when(F.size("out") > 0, F.filter(F.sequence(F.lit(0), F.size("out") - 1), begins)))
