@@ -32,3 +32,11 @@ def test_a_text_with_control_characters_is_cut_like_others(spark, make_docs):
     texts = [(1, "a\x01b. " + passage), (2, "a\x01b. " + passage), (3, "\x01\x01 c. " + passage + "d\x01e"), (4, "f. " + passage + "g.")]
     got = {r.doc_id: r.new_text for r in dedup_lines(make_docs(texts)).collect()}
     assert got == {1: texts[0][1], 2: "", 3: "\x01\x01 c. d\x01e", 4: "f. g."}
+
+
+def test_rows_that_share_an_id_are_cut_each_at_its_own_places(spark, make_docs):
+    # the passage stands at another place in each row of id 2, and twice in document 3
+    passage = "Xa. " + prose(50, 9, [". ", ", "]).strip() + ". "
+    texts = [(1, passage), (2, "B. C. D. " + passage), (2, passage + "E."), (3, passage + "F. " + passage), (4, "G. " + passage)]
+    got = sorted(r.new_text for r in dedup_lines(make_docs(texts)).collect())
+    assert got == sorted([passage, "B. C. D. ", "E.", "F. ", "G. "])
