@@ -112,8 +112,8 @@ def _body(first: Column, last: Column) -> Column:
     return F.array_join(F.slice("bare", first + 1, last - first + 1), "\n")
 
 
-def repeated_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: of each document doc_id, hashes (distinct), spots and lookup; of
+def repeated_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Two tables, and whether rows share an id: of each document doc_id, hashes (distinct), spots and lookup; of
     each chunk hash that several documents have hash and keeper (the smallest id).
 
     A spot is a chunk's first line, times 8, and how many lines follow it. With
@@ -123,14 +123,15 @@ def repeated_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     spots = F.when(F.col("lookup") | (F.size("ends") < 1), F.array().cast("array<int>")).otherwise(F.zip_with("starts", "ends", lambda s, e: s * 8 + (e - s)))
     table = written(step.select("doc_id", F.col("distinct").alias("hashes"), spots.alias("spots"), "lookup"), "chunk-hashes")
     shared = table.groupBy("doc_id").count().where("count > 1")
-    if not shared.isEmpty():
+    several_rows = not shared.isEmpty()
+    if several_rows:
         shared = shared.select(F.col("doc_id").alias("shared_id"))
         table = table.join(shared, F.col("doc_id") == F.col("shared_id"), "left").withColumn("lookup", F.col("lookup") | F.col("shared_id").isNotNull())
         table = table.select("doc_id", "hashes", F.when(F.col("lookup"), F.array().cast("array<int>")).otherwise(F.col("spots")).alias("spots"), "lookup")
         table = written(table, "chunk-hashes")
     each = table.select("doc_id", F.explode("hashes").alias("hash"))
     several = each.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other")).where("keeper != other").select("hash", "keeper")
-    return table, written(several, "chunk-keepers", release=True)
+    return table, written(several, "chunk-keepers", release=True), several_rows
 
 
 def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
@@ -141,23 +142,26 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
     step = step.withColumn("bare", F.transform("lines", _bare_line)).withColumn("total", F.size("bare"))
     step = with_chunks(step, F.transform("bare", lambda x: F.xxhash64(x)))
 
-    def known(h: Column, k: Column) -> Column:
+    def known(c: Column) -> Column:
+        k = c["k"]
         first, last = F.get("starts", k), F.get("ends", k)
         before, behind = F.coalesce(F.get("starts", k - 1), first) + 1, F.coalesce(F.get("ends", k + 1), F.col("total")) - 1
         left = F.reverse(F.slice("bare", before + 1, F.greatest(first - before, F.lit(0))))
         right = F.slice("bare", last + 2, F.greatest(behind - last, F.lit(0)))
-        return F.when(F.array_contains("wanted", h), F.struct(h.alias("hash"), F.struct(_body(first, last).alias("body"), left.alias("left"), right.alias("right")).alias("known")))
+        return F.when(k >= 0, F.struct(c["hash"].alias("hash"), F.struct(_body(first, last).alias("body"), left.alias("left"), right.alias("right")).alias("known")))
 
-    return step.select(F.explode(F.transform("hashes", known)).alias("c")).where("c is not null").select("c.hash", "c.known")
+    # the first place of each, however often the document has it
+    places = F.transform("wanted", lambda h: F.struct(h.alias("hash"), (F.array_position("hashes", h).cast("int") - 1).alias("k")))
+    return step.select(F.explode(F.transform(places, known)).alias("c")).where("c is not null").select("c.hash", "c.known")
 
 
 def removable(texts: DataFrame) -> DataFrame:
     """own_id, gone (spot, hash and known of the chunks that documents with smaller
     ids keep, by spot) and lookup of each document that has such chunks or has one
     twice."""
-    table, keepers = repeated_chunks(texts)
+    table, keepers, several_rows = repeated_chunks(texts)
     known = kept_chunks(texts, keepers)
-    if not table.where("lookup").isEmpty():  # the rows of an id may keep a chunk each
+    if several_rows:  # the rows of an id may keep a chunk each
         known = known.dropDuplicates(["hash"])
     known = written(known, "kept-chunks", release=True)
     each = table.select("doc_id", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("spots").alias("spot"))))
