@@ -11,7 +11,8 @@ than ``reach`` sets may lie between the two in all trees.
 
 Therefore candidates are not links but join sets into canopies, which need no
 direct neighbours, and links inside a canopy are exact (``canopies``). A link
-between two canopies is lost; ``tests/llm/test_crowds.py`` measures how many are.
+between two canopies is lost; ``tests/llm/test_like_documents.py`` compares
+a crowd with all its pairs.
 Links become components. Copies (equal sets) are one node throughout, however
 many rows they are.
 
