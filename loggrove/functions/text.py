@@ -55,10 +55,19 @@ def name_part(path: Column, index: int) -> Column:
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
-def number(text: Column) -> Column:
-    """DOUBLE of a text; NULL where it is no decimal number (a suffix as in 1d and
-    hexadecimal digits make none) or NaN."""
-    plain = F.when(text.rlike(NUMBER), text.try_cast("double"))
+def is_number(text: Column) -> Column:
+    """Whether a text is a decimal number (a suffix as in 1d and hexadecimal digits
+    make none), infinity or NaN."""
+    return text.rlike(NUMBER)
+
+
+def number(text: Column, strict: bool = False) -> Column:
+    """DOUBLE of a text; NULL where it is NaN or no number, or, where ``strict``, an
+    error for what is no number."""
+    plain = F.when(is_number(text), text.try_cast("double"))
+    if strict:
+        # the cast fails with the text in its message
+        plain = plain.when(text.isNotNull(), F.concat(F.lit("not a decimal number: "), text).cast("double"))
     return F.nanvl(plain, F.lit(None).cast("double"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.functions.text import number
+from loggrove.functions.text import is_number, number
 
 NUMERIC = ["int64", "double", "float"]
 
@@ -14,13 +14,18 @@ def typed_values(records: DataFrame, data_type: str = "data_type", value: str =
     """Adds boolean_value (text) and numeric_value (double) by declared type;
     other types have neither. Numbers that cannot be parsed are NULL, or raise
     where ``strict``. NaN becomes NULL, so that aggregates skip it."""
-    numeric = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")) if strict else number(F.col(value))
-    return records.withColumns({"boolean_value": F.when(F.col(data_type) == "boolean", F.col(value)), "numeric_value": F.when(F.col(data_type).isin(NUMERIC), numeric)})
+    numeric = F.when(F.col(data_type).isin(NUMERIC), F.col(value))
+    return records.withColumns({"boolean_value": F.when(F.col(data_type) == "boolean", F.col(value)), "numeric_value": number(numeric, strict)})
 
 
 def unparsed(records: DataFrame, data_type: str = "data_type", value: str = "value") -> DataFrame:
     """Records of a numeric type whose value is no number."""
-    return records.where(F.col(data_type).isin(NUMERIC) & F.col(value).isNotNull() & F.col(value).try_cast("double").isNull())
+    return records.where(no_number(data_type, value))
+
+
+def no_number(data_type: str = "data_type", value: str = "value") -> Column:
+    """Whether a record has a numeric type and a value that is no number."""
+    return F.coalesce(F.col(data_type).isin(NUMERIC) & ~is_number(F.col(value)), F.lit(False))
 
 
 def map_entries(records: DataFrame, entry_map: DataFrame, entry: str = "entry") -> DataFrame:

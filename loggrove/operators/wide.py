@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loggrove.functions.text import number
 
 def widen(records: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], metric: str = "metric") -> DataFrame:
     """keys.. and one column for each of ``columns`` (name: (metric, source)).
@@ -64,7 +65,7 @@ def camera_stats(records: DataFrame, session: list[str], camera: str = "camera",
 def electrical_summary(records: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("CURRENT", "TEMP", "VOLTAGE"), floor: float = 0.05, metric: str = "metric", value: str = "value", numeric: str = "numeric_value", data_type: str = "data_type") -> DataFrame:
     """Largest, smallest and mean magnitude per key of the double records above
     the noise floor. A text that is no number counts as 0 for the floor."""
-    size = F.abs(F.when(F.col(value).isNotNull(), F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))))
+    size = F.abs(F.when(F.col(value).isNotNull(), F.coalesce(number(F.col(value)), F.lit(0.0))))
     own = records.where((F.col(data_type) == "double") & (size > floor) & F.col(metric).isin(*metrics))
     v = F.abs(F.col(numeric).cast("double"))
     return own.groupBy(*keys).agg(F.max(v).alias("max_abs_value"), F.min(v).alias("min_abs_value"), F.avg(v).alias("avg_abs_value"))

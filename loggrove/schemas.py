@@ -39,7 +39,11 @@ VISION_RAW = _schema(f"filename STRING, {_KEYS}, entry STRING, data_type STRING,
 VISION_TELEMETRY = _schema(f"filename STRING, {_KEYS}, match_time BIGINT, camera STRING, latency DOUBLE, hasTarget STRING")
 VISION_STATS = _schema(f"filename STRING, {_KEYS}, camera STRING, avg_latency DOUBLE, min_latency DOUBLE, max_latency DOUBLE, stddev_latency DOUBLE")
 PREFERENCES = _schema(f"filename STRING, {_KEYS}, entry STRING, data_type STRING, value STRING")
-LEDGER = _schema("filename STRING, import_timestamp BIGINT, file_hash STRING, success BOOLEAN, last_attempt_timestamp BIGINT, attempt_id BIGINT")
+#: ``outcome``: started, imported, waiting, superseded (another version of the name won) or not a log.
+LEDGER = _schema("filename STRING, import_timestamp BIGINT, file_hash STRING, success BOOLEAN, last_attempt_timestamp BIGINT, attempt_id BIGINT, modified BIGINT, outcome STRING")
+#: Files that have come in: ``kind`` and ``match_id`` are read from the name.
+FILES = _schema("filename STRING, path STRING, file_hash STRING, modified BIGINT, kind STRING, match_id STRING")
+COUNTS = _schema("attempt_id BIGINT, counter STRING, n BIGINT")
 ELECTRICAL_SUMMARY = _schema("event STRING, match_id STRING, subsystem STRING, component STRING, part STRING, type STRING, metric STRING, max_abs_value DOUBLE, min_abs_value DOUBLE, avg_abs_value DOUBLE")
 
 

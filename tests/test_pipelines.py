@@ -1,17 +1,11 @@
-import struct
-
 import pytest
 from pyspark.sql import functions as F
 
 from loggrove import schemas
 from loggrove.operators import ledger, period, routing, typed, wide
 from loggrove.operators.file_sets import match_file_sets, orphan_files
-from loggrove.plans.imports import import_devices, import_systems
 from loggrove.plans.pipelines import ingest_devices, ingest_matches, ingest_system, summarize
 from loggrove.sources import staged
-from loggrove.sources.container import long_records
-from loggrove.streaming.incremental import import_new, read_ledger
-from tests.logs import header, record, start
 
 PREFIXES = routing.Prefixes("MetaData", "NT:R/", "NT:/P/", "NT:/FMSInfo/", ("NT:/pv/",), ("NT:/pv/", "NT:/cp/"))
 DEVICE_MAP = [("V", "VOLTAGE"), ("C", "CURRENT"), ("S", "VELOCITY"), ("W", "POWER")]
@@ -163,66 +157,6 @@ def test_replacing_a_partition_twice_changes_nothing(spark, tmp_path):
     assert sorted((r.filename, r.value) for r in spark.read.parquet(table).collect()) == [("f", "1"), ("g", "3")]
 
 
-def test_each_content_is_imported_once(spark, tmp_path):
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    log = header() + start(1, "V", "int64") + record(1, 5, struct.pack("<q", 1))
-    (logs / "a.wpilog").write_bytes(log)
-    (logs / "b.wpilog").write_bytes(log)
-    loaded = []
-    run = lambda: import_new(spark, str(logs), str(tmp_path / "ledger"), str(tmp_path / "cp"), lambda f, n: loaded.extend(r.filename for r in f.select("filename").collect())).awaitTermination()
-    run()
-    (logs / "c.wpilog").write_bytes(log)
-    (logs / "d.wpilog").write_bytes(log + record(1, 6, struct.pack("<q", 2)))
-    run()
-    assert loaded == ["a.wpilog", "d.wpilog"]
-    assert sorted((r.filename, r.success) for r in read_ledger(spark, str(tmp_path / "ledger")).collect()) == [("a.wpilog", True), ("d.wpilog", True)]
-    assert long_records(spark, str(logs / "d.wpilog")).count() == 2
-
-
-def container(rows):
-    """A log file of (timestamp, entry, type, value) rows of numbers, flags and texts."""
-    pack = {"double": lambda v: struct.pack("<d", float(v)), "int64": lambda v: struct.pack("<q", int(v)), "boolean": lambda v: bytes([v == "True"]), "string": str.encode}
-    names = {e: k + 1 for k, e in enumerate(dict.fromkeys(r[1] for r in rows))}
-    kinds = {e: t for _, e, t, _ in rows}
-    return header() + b"".join(start(k, e, kinds[e]) for e, k in names.items()) + b"".join(record(names[e], ts, pack[t](v)) for ts, e, t, v in rows)
-
-
-def test_a_folder_of_system_logs_is_imported_once(spark, tmp_path, maps):
-    logs, root = tmp_path / "logs", str(tmp_path / "tables")
-    logs.mkdir()
-    (logs / "log_Q1.wpilog").write_bytes(container(SESSION))
-    (logs / "copy.wpilog").write_bytes(container(SESSION))
-    (logs / "broken.wpilog").write_bytes(b"no log")
-    run = lambda: import_systems(spark, str(logs), root, *maps, PREFIXES, "2025").awaitTermination()
-    run()
-    run()
-    (logs / "log_Q2.wpilog").write_bytes(container([(ts + 7, *rest) for ts, *rest in SESSION]))
-    run()
-    read = lambda name: spark.read.schema(getattr(schemas, name.upper())).parquet(f"{root}/{name}")
-    first = "copy.wpilog"  # the smaller name of one content
-    both = long_frame(spark, first, SESSION).unionByName(long_frame(spark, "log_Q2.wpilog", [(ts + 7, *rest) for ts, *rest in SESSION]))
-    for name, rows in ingest_system(both, *maps, PREFIXES, "2025").items():
-        if name not in ("device_data_raw", "vision_data_raw"):
-            got = read(name).select(rows.columns)
-            assert got.exceptAll(rows).isEmpty() and rows.exceptAll(got).isEmpty(), name
-    done = read_ledger(spark, f"{root}/ledger").collect()
-    assert {(r.filename, r.success) for r in done} == {(first, True), ("broken.wpilog", True), ("log_Q2.wpilog", True)}
-
-
-def test_a_folder_of_device_logs_is_imported_even_with_a_new_checkpoint(spark, tmp_path, maps):
-    logs, root = tmp_path / "logs", tmp_path / "tables"
-    logs.mkdir()
-    (logs / "drive_1.wpilog").write_bytes(container([(50, "V", "double", "1"), (60, "V", "double", "2")]))
-    import_devices(spark, str(logs), str(root), maps[0], maps[0]).awaitTermination()
-    (root / "checkpoint").rename(root / "old")
-    (logs / "rio_1.wpilog").write_bytes(container([(9, "V", "double", "4")]))
-    import_devices(spark, str(logs), str(root), maps[0], maps[0]).awaitTermination()
-    rows = spark.read.parquet(f"{root}/device_telemetry").select("filename", "match_time", "voltage").collect()
-    assert sorted(map(tuple, rows)) == [("drive_1.wpilog", 0, 1.0), ("drive_1.wpilog", 10, 2.0), ("rio_1.wpilog", 0, 4.0)]
-    assert sorted((r.filename, r.attempt_id) for r in read_ledger(spark, f"{root}/ledger").collect()) == [("drive_1.wpilog", 1), ("rio_1.wpilog", 3)]
-
-
 def test_tables_are_appended_exported_and_named(spark, tmp_path):
     rows = spark.createDataFrame([("f", "e", "double", "1")], "filename string, entry string, data_type string, value string")
     for _ in range(2):
