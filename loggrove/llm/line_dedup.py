@@ -150,9 +150,20 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
         right = F.slice("bare", last + 2, F.greatest(behind - last, F.lit(0)))
         return F.when(k >= 0, F.struct(c["hash"].alias("hash"), F.struct(_body(first, last).alias("body"), left.alias("left"), right.alias("right")).alias("known")))
 
-    # the first place of each, however often the document has it
-    places = F.transform("wanted", lambda h: F.struct(h.alias("hash"), (F.array_position("hashes", h).cast("int") - 1).alias("k")))
-    return step.select(F.explode(F.transform(places, known)).alias("c")).where("c is not null").select("c.hash", "c.known")
+    # in order of hash and place, what stands behind a wanted hash is its first place in the document
+    step = step.withColumn("order", _by_hash(F.transform("wanted", lambda h: F.struct(h.alias("hash"), F.lit(-1).alias("k")))))
+    at = lambda i: F.get("order", i)
+    first = lambda i: (at(i)["k"] >= 0) & (at(i - 1)["k"] < 0) & (at(i)["hash"] == at(i - 1)["hash"])
+    step = step.withColumn("picked", F.when(F.size("order") > 1, F.filter(F.sequence(F.lit(1), F.size("order") - 1), first)))
+    return step.select(F.explode(F.transform("picked", lambda i: known(at(i)))).alias("c")).where("c is not null").select("c.hash", "c.known")
+
+
+def _by_hash(others: Column) -> Column:
+    """Hash and place (k) of the chunks of a text together with ``others``, whose
+    k is negative, in order: equal hashes stand side by side, which no search through the
+    text for each of its chunks is needed to find."""
+    own = F.transform("hashes", lambda h, k: F.struct(h.alias("hash"), k.alias("k")))
+    return F.sort_array(F.concat(others, own))
 
 
 def removable(texts: DataFrame) -> DataFrame:
@@ -193,8 +204,6 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     step = step.withColumn("bare", F.transform("lines", _bare_line))
     # where spots say nothing, chunks are made and looked up again
     step = with_chunks(step, F.when(F.col("lookup"), F.transform("bare", lambda x: F.xxhash64(x))))
-    step = step.withColumn("names", F.when(F.col("lookup"), F.transform("gone", lambda x: x["hash"])))
-
     def whole(x: Column, first: Column, last: Column) -> Column:
         """The lines of a chunk and those beside it that stand beside the kept copy too."""
         left, right = _matches(x["left"], lambda j: first - 1 - j), _matches(x["right"], lambda j: last + 1 + j)
@@ -204,15 +213,34 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
         first = F.shiftright(x["spot"], 3)
         return whole(x, first, first + x["spot"].bitwiseAND(F.lit(7)))
 
-    def out(h: Column, k: Column) -> Column:
-        first, last = F.get("starts", k), F.get("ends", k)
-        # as an array of one or none, so that the place is looked up once
-        found = F.transform(F.filter(F.array(F.array_position("names", h).cast("int")), lambda p: p > 0), lambda p: whole(F.get("gone", p - 1), first, last))
-        earlier = F.array_position("hashes", h).cast("int") - 1
-        again = (earlier < k) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
-        return F.coalesce(F.get(found, F.lit(0)), F.when(again, F.struct(first.alias("first"), last.alias("last"))))
-
-    step = step.withColumn("out", F.when(F.size("bare") >= 0, F.filter(F.when(F.size("names") >= 0, F.transform("hashes", out)).otherwise(F.transform("gone", at_spot)), lambda x: x.isNotNull())))
+    # where spots say nothing: a negative k tells the place in gone
+    kept = F.transform("gone", lambda x, i: F.struct(x["hash"].alias("hash"), (-1 - i).alias("k")))
+    step = step.withColumn("order", F.when(F.col("lookup"), _by_hash(kept)))
+    hash_at = lambda i: F.get("order", i)["hash"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("order") - 1), lambda i: (i == 0) | (hash_at(i) != hash_at(i - 1)))
+    step = step.withColumn("heads", F.when(F.size("order") > 0, heads))
+
+    def group(head: Column, n: Column) -> Column:
+        """Chunks of one hash: those that stand as in the kept copy, and those that
+        the text has further up."""
+        size = F.coalesce(F.get("heads", n + 1), F.size("order")) - head
+        block = F.when(size > 1, F.slice("order", head + 1, size))
+
+        def found(x: Column) -> Column:
+            at, lead = x["k"], F.get("order", head)["k"]
+            first, last = F.get("starts", at), F.get("ends", at)
+            # the head is a kept copy, or the first chunk of the text; behind a kept copy the first is the next
+            earlier = F.when(lead >= 0, lead).otherwise(F.get("order", head + 1)["k"])
+            again = (earlier < at) & (earlier >= 0) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
+            place = F.coalesce(F.when(lead < 0, whole(F.get("gone", -1 - lead), first, last)), F.when(again, F.struct(first.alias("first"), last.alias("last"))))
+            return F.when((at >= 0) & place.isNotNull(), F.struct(at.alias("k"), place["first"].alias("first"), place["last"].alias("last")))
+
+        return F.filter(F.transform(block, found), lambda x: x.isNotNull())
+
+    looked_up = F.sort_array(F.flatten(F.filter(F.transform("heads", group), lambda g: g.isNotNull())))
+    at_spots = F.filter(F.transform("gone", at_spot), lambda x: x.isNotNull())
+    at_spots = F.transform(at_spots, lambda x: F.struct(F.lit(0).alias("k"), x["first"].alias("first"), x["last"].alias("last")))
+    step = step.withColumn("out", F.when(F.size("bare") >= 0, F.when(F.size("heads") >= 0, looked_up).otherwise(at_spots)))
     # neither first nor last lines ever fall: lines beside a chunk end where the next chunk would
     begins = lambda k: (k == 0) | (F.get("out", k)["first"] > F.get("out", k - 1)["last"] + 1)
     step = step.withColumn("places", F.when(F.size("out") > 0, F.filter(F.sequence(F.lit(0), F.size("out") - 1), begins)))

@@ -40,3 +40,12 @@ def test_rows_that_share_an_id_are_cut_each_at_its_own_places(spark, make_docs):
     texts = [(1, passage), (2, "B. C. D. " + passage), (2, passage + "E."), (3, passage + "F. " + passage), (4, "G. " + passage)]
     got = sorted(r.new_text for r in dedup_lines(make_docs(texts)).collect())
     assert got == sorted([passage, "B. C. D. ", "E.", "F. ", "G. "])
+
+
+def test_a_very_long_text_that_repeats_itself_and_another_is_cut_in_one_go(spark, make_docs):
+    w = words(3000, 5)
+    r = random.Random(6)
+    lines = [" ".join(r.choice(w) for _ in range(6)) + ".\n" for _ in range(60_000)]
+    texts = [(1, "".join(lines[20_000:50_000])), (2, "".join(lines + lines[:100]))]
+    got = {r.doc_id: r.new_text for r in dedup_lines(make_docs(texts)).collect()}
+    assert got == {1: texts[0][1], 2: "".join(lines[:20_000] + lines[50_000:])}
