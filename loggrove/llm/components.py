@@ -4,12 +4,17 @@ Large-star and small-star steps in turn: each hangs the neighbours of a node on
 the smallest of them, so chains shorten fast and the number of edges never
 grows. Every step is a min per node (pre-aggregated before the shuffle) and a
 join with it; the join's key is an expression of its own, so that both sides are
-shuffled for it and Spark can split the rows of a hub. Each round is written to
-the shared folder, where a lost executor's successor finds it.
+shuffled for it and Spark can split the rows of a hub. Before each step the edges that
+lie in one partition, as they happen to, are joined there to stars, which moves
+nothing and saves rounds. Each round is written to the shared folder, where a lost
+executor's successor finds it. Rounds end when all edges lead from a node that no edge
+leads to, to a single smallest one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +27,56 @@ def _joined_with_least(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("key", F.col("u").bitwiseXOR(F.lit(-1))).join(least.hint("merge"), "key").drop("key")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it is connected with) of the nodes of some edges; a
+    node without any neighbour but itself keeps its edge."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(node))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while (low[low] != low).any():
+            low = low[low]
+        new = low[root]
+        if (new == root).all():
+            break
+        root = new
+    alone = np.ones(len(node), bool)
+    alone[root[root != np.arange(len(node))]] = False
+    keep = (root != np.arange(len(node))) | alone
+    return node[keep], node[root[keep]]
+
+
+def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Stars of the edges of each partition, ``most`` edges at a time."""
+
+    def stars(held):
+        u, v = local_stars(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([np.asarray(batch.column(k)) for k in ("u", "v")])
+                n += batch.num_rows
+            if n >= most:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge only, to a node that has none but its own."""
+    out = edges.where("u != v")
+    ends = out.select(F.col("u").alias("node"), F.lit(1).alias("leads"), F.lit(0).alias("led")).unionByName(out.select(F.col("v").alias("node"), F.lit(0).alias("leads"), F.lit(1).alias("led")))
+    odd = ends.groupBy("node").agg(F.sum("leads").alias("leads"), F.max("led").alias("led")).where("leads > 1 or leads = 1 and led = 1")
+    return odd.isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -31,18 +84,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     repeat or have two equal ends (such an edge stays and makes its node known);
     null ends are left out."""
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    before = _mark(now)
+    now = written(_contracted(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))).distinct(), "edges")
     for _ in range(most_rounds):
+        if _settled(now):
+            break
         both = now.where("u != v").unionByName(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _joined_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _joined_with_least(large)
         step = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(step.unionByName(now.where("u = v")).distinct(), "edges")
-        after = _mark(now)
-        if after == before:
-            break
-        before = after
+        now = written(_contracted(step.unionByName(now.where("u = v"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,9 +8,10 @@ the text's probability. A filter is a table of one weight per place and byte,
 so its response is a sum of lookups.
 
 Fitting takes at most ``most_rows`` labelled rows of ``most_bytes`` together, each
-with its whole text. Every step of the descent draws texts, and of each text any of
-its chunks, so that texts weigh alike and long ones are seen throughout; there are as
-many steps whatever the number of rows. Rows set aside calibrate by their mean logit
+with its whole text; one that does not fit is passed over. Every step of the descent
+draws texts, and of each text any of its chunks, so that texts weigh alike and long
+ones are seen throughout; there are as many draws as the sample has chunks, and 150,000
+at least. Rows set aside calibrate by their mean logit
 over all chunks. Scoring covers every byte of every text and needs no shuffle.
 
 Nulls: a null text counts as empty, a null id stays null and is not held out. An
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loggrove.llm.common import slices, whole_text
@@ -95,11 +96,12 @@ class ByteNetwork:
         # rounded: matrix products of batches of different sizes differ in the last digits
         return np.round(1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30))), 6)
 
-    def fit(self, texts: list[bytes], y: np.ndarray, draws: int = 150_000, size: int = 128, rate: float = 0.01) -> ByteNetwork:
-        """Adam on the cross-entropy of ``draws`` single chunks: of a text drawn at
-        random, a chunk drawn at random."""
+    def fit(self, texts: list[bytes], y: np.ndarray, draws: int | None = None, size: int = 128, rate: float = 0.01) -> ByteNetwork:
+        """Adam on the cross-entropy of ``draws`` single chunks (as many as there are,
+        and 150,000 at least): of a text drawn at random, a chunk drawn at random."""
         rng = np.random.default_rng(5)
         raw, halves = padded(texts)
+        draws = max(150_000, int(halves.sum()) - len(texts)) if draws is None else draws
         begins = np.cumsum(halves) - halves
         params = [self.table, self.w1, self.b1, self.w2, np.zeros(1, np.float32)]
         first = [np.zeros_like(p) for p in params]
@@ -156,13 +158,10 @@ class ByteNetwork:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, most_rows: int = 4000, most_bytes: int = 1 << 26) -> ByteNetwork | None:
     """Fits on labelled rows outside the held-out fold: at most ``most_rows``, in
-    the order of a hash of their ids, as far as their texts have ``most_bytes``
+    the order of a hash of their ids, whose texts have at most ``most_bytes``
     together. Every fifth of them calibrates, the others teach the network."""
-    sample = labelled_sample(docs, labels, "quality", modulus, held_out, most_rows)
-    # one window over most_rows rows at most
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = sample.withColumn("total", F.sum(F.octet_length("text")).over(order)).where(F.col("total") <= most_bytes)
-    rows = sized.select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect()
+    sample = labelled_sample(docs, labels, "quality", modulus, held_out, most_rows, most_bytes)
+    rows = sample.select("doc_id", "label", F.col("text").cast("binary").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     texts, y = [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32)
     aside = np.arange(len(rows)) % 5 == 4

@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loggrove.llm.common import slices, whole_text, written
+from loggrove.llm.common import among, slices, whole_text, written
 from loggrove.llm.encoding import encoder, tokenizer_digest
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -36,8 +36,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, content_digest of every row.
 
-    The text moves through one shuffle at most, and only ids and digests are
-    joined with the cache, where one digest may hold a third of all rows (a
+    The text moves through one shuffle at most, and not at all where its count is
+    stored (but for the few that a filter of fixed size cannot tell apart). Only ids and
+    digests are joined with the cache, where one digest may hold a third of all rows (a
     sort-merge join, which Spark splits).
     """
     spark = docs.sparkSession
@@ -47,7 +48,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_colum
     cached = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
     # one row stands for all of a text; rows that share an id, null ones too, are told apart by the digest
     missing = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id")).join(cached, "content_digest", "left_anti")
-    named = texts.withColumn("own", F.unhex(F.sha2("text", 256)))
+    # of the texts only those that may be missing are hashed again and moved; none where all counts are stored
+    named = among(texts, "doc_id", missing.select("doc_id")).withColumn("own", F.unhex(F.sha2("text", 256)))
     picked = named.join(missing.hint("shuffle_hash"), named.doc_id.eqNullSafe(missing.doc_id) & (named.own == missing.content_digest)).select("content_digest", "text")
 
     def encode(batches):

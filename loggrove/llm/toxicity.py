@@ -9,7 +9,7 @@ the scan of the documents and needs no shuffle.
 
 Nulls: a null text counts as empty, a null id stays null and is not held out.
 Empty texts get a score like any other, very long ones are read whole, in slices. Equal texts have equal scores. With no
-labelled row of either kind every score is 0. An empty table gives no rows. Columns other than
+labelled row of one of the kinds every score is 0. An empty table gives no rows. Columns other than
 the text never enter a score.
 """
 
@@ -22,10 +22,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loggrove.llm.common import filtered, remainder, slices, whole_text
+from loggrove.llm.common import filtered, slices, whole_text, written
 from loggrove.llm.labelled import labelled_sample
 
 # Insults, and second-person words of English, French, German and Spanish.
@@ -238,18 +238,8 @@ class ToxicityModel:
         return score
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 8000) -> ToxicityModel:
-    """Fits on at most ``most_rows`` labelled rows outside the held-out fold.
-
-    A hash of the id sets a quarter of them aside to calibrate; the lexicon and the
-    trees know the others alone. So at every size; only where a label is missing
-    in one of the parts, all rows serve as both.
-    """
-    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, most_rows)
-    apart = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) % (4 * modulus) / modulus) == 0
-    sizes = {(r["apart"], r["label"]) for r in sample.groupBy(apart.alias("apart"), "label").count().collect()}
-    split = len(sizes) == 4
-    lexicon = learn_lexicon(sample.where(~apart) if split else sample)
+def _features(sample: DataFrame, lexicon: Lexicon) -> list:
+    """doc_id, label, fold, x of the sample's rows."""
 
     def featurise(batches):
         make = FeatureMaker(lexicon)
@@ -257,18 +247,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out:
             for part in slices(batch, "text"):
                 x = make(part.column("text").cast(pa.string()))
                 flat = pa.array(list(x), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), flat], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), part.column("fold").cast(pa.int32()), flat], names=["doc_id", "label", "fold", "x"])
 
-    rows = sample.mapInArrow(featurise, "doc_id long, label int, x array<double>").collect()
+    rows = sample.mapInArrow(featurise, "doc_id long, label int, fold int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    return rows
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 8000, folds: int = 3) -> ToxicityModel:
+    """Fits on at most ``most_rows`` labelled rows outside the held-out fold.
+
+    The rows of each label are dealt to ``folds`` folds. Each fold is scored by a
+    lexicon and trees that know the other folds alone, and these scores of all rows
+    calibrate; the lexicon and the trees that are kept are made of all rows. So at
+    every size; a label with a single row has no scores of this kind.
+    """
+    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, most_rows)
+    # ids of most_rows rows at most
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    dealt = sample.select("doc_id", "label").distinct().select("doc_id", ((turn - 1) % folds).alias("fold"))
+    sample = written(sample.join(F.broadcast(dealt), "doc_id"), "dealt")
+    lexicon = learn_lexicon(sample)
+    rows = _features(sample, lexicon)
     y = np.array([r["label"] for r in rows], float)
     if not len(rows) or not 0 < y.mean() < 1:
         return ToxicityModel(lexicon, None, None)
-    x = np.array([r["x"] for r in rows])
-    aside = remainder([r["doc_id"] for r in rows], 4 * modulus) // modulus == 0
-    grow, check = (~aside, aside) if split else (aside | True, aside | True)
-    trees = Boosting().fit(x[grow], y[grow])
-    return ToxicityModel(lexicon, trees, isotonic(trees(x[check]), y[check]))
+    trees = Boosting().fit(np.array([r["x"] for r in rows]), y)
+    z, apart = [], []
+    for k in range(folds):
+        own = _features(sample, learn_lexicon(sample.where(F.col("fold") != k)))
+        x, fold, label = np.array([r["x"] for r in own]), np.array([r["fold"] for r in own]), np.array([r["label"] for r in own], float)
+        others = fold != k
+        if others.all() or not 0 < label[others].mean() < 1:
+            continue
+        z.append(Boosting().fit(x[others], label[others])(x[~others]))
+        apart.append(label[~others])
+    if not z:
+        return ToxicityModel(lexicon, trees, (np.zeros(1), np.array([y.mean()])))
+    return ToxicityModel(lexicon, trees, isotonic(np.concatenate(z), np.concatenate(apart)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from loggrove.llm.labelled import labelled_sample
 from loggrove.llm.quality import CHUNK, FILTERS, HALF, STRIDE, WIDTH, ByteNetwork, fit_quality, padded, score_quality
 from loggrove.llm.toxicity import Boosting, drop_toxic, fit_toxicity, isotonic, score_toxicity
 from tests.llm.conftest import words
@@ -167,3 +168,23 @@ def test_boosting_and_isotonic():
     assert area(z[1500:], y[1500:]) > 0.95
     knots, rates = isotonic(z[1500:], y[1500:])
     assert (np.diff(knots) >= 0).all() and (np.diff(rates) >= 0).all() and 0 < rates[0] and rates[-1] < 1
+
+
+def test_an_oversized_text_drops_itself_only(spark, make_docs):
+    docs = make_docs([(d, ("good text here " if d % 2 else "BAD!! BAD!! ") * (4000 if d == 0 else 5)) for d in range(200)])
+    labels = spark.createDataFrame([(d, d % 2, 1 - d % 2) for d in range(200)], "doc_id long, quality int, toxic int")
+    taken = labelled_sample(docs, labels, "quality", 4, 2, 4000, 20_000)
+    every = labelled_sample(docs, labels, "quality", 4, 2, 4000)
+    assert {r.doc_id for r in every.collect()} - {r.doc_id for r in taken.collect()} == {0}
+    assert fit_quality(docs, labels, most_bytes=20_000) is not None
+
+
+@pytest.mark.parametrize("n", [6, 30, 200])
+def test_toxicity_is_calibrated_by_rows_that_its_models_do_not_know(n, spark, make_docs):
+    # labels that texts say nothing about: scores must stay near their share, at every size
+    r = random.Random(n)
+    docs = make_docs([(d, " ".join(words(30, d))) for d in range(n)])
+    labels = spark.createDataFrame([(d, 1, int(r.random() < 0.4)) for d in range(n)] + [(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    scores = [x.score for x in score_toxicity(docs, fit_toxicity(docs, labels)).collect()]
+    assert max(scores) < 0.95 or n < 30
+    assert abs(np.mean(scores) - 0.4) < 0.35

@@ -91,3 +91,18 @@ def test_rows_that_share_an_id_do_not_meet_each_other(spark, make_docs, tmp_path
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 4000
     again = token_counts(docs, vocabulary("byte_bpe_50k.json"), str(tmp_path / "cache"))
     assert again.count() == 8000 and spark.read.parquet(str(tmp_path / "cache")).count() == 4000
+
+
+def test_a_run_whose_counts_are_stored_moves_no_text(spark, make_docs, tmp_path):
+    def written():
+        store = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(store.apply(k).totalShuffleWrite() for k in range(store.length()))
+
+    r = random.Random(2)
+    docs = make_docs([(k, "".join(chr(r.randint(97, 122)) for _ in range(40_000))) for k in range(100)])
+    moved = []
+    for _ in range(2):
+        before = written()
+        token_counts(docs, vocabulary(BYTES), str(tmp_path / "cache")).collect()
+        moved.append(written() - before)
+    assert moved[0] > 2_000_000 and moved[1] < 200_000
