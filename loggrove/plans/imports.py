@@ -23,7 +23,7 @@ from loggrove.operators.routing import Prefixes
 from loggrove.operators.typed import no_number
 from loggrove.plans.pipelines import derived_tables, device_raw, match_raw, summarize, system_raw
 from loggrove.schemas import COUNTS, FILES, LEDGER, LONG, conform
-from loggrove.sources.container import decode_values, resolve_entries
+from loggrove.sources.container import decode_values, entry_intervals, resolve_entries
 from loggrove.sources.stored import StoredTable, read_or_empty
 from loggrove.streaming.incremental import import_new, ledger_attempts
 
@@ -69,8 +69,11 @@ def _store_records(root: str, records: DataFrame, files: DataFrame, number: int,
 def _decode(root: str, files: DataFrame, raw: DataFrame, number: int, include_float: bool, metadata_prefix: str | None) -> None:
     """The records of new log files, stored."""
     decoding = Observation()
-    controls = raw.where(F.col("kind").isin("start", "finish"))
-    decoded = decode_values(resolve_entries(raw, ["filename"], controls=controls), include_float, decoding)
+    # stored, so that Spark knows their size and broadcasts them while they are small
+    spans = entry_intervals(raw, ["filename"])
+    spans.write.mode("overwrite").parquet(f"{root}/intervals")
+    spans = raw.sparkSession.read.schema(spans.schema).parquet(f"{root}/intervals")
+    decoded = decode_values(resolve_entries(raw, ["filename"], intervals=spans), include_float, decoding)
     invalid = raw.where(F.col("kind").isin("invalid", "unknown_control")).count()
     _store_records(root, decoded, files, number, metadata_prefix, {"files": files.count(), "invalid_control": invalid}, decoding)
 

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from loggrove.functions.text import seconds, wall_clock, without_prefix
 from loggrove import schemas
 from loggrove.operators import file_sets, ledger, period, routing, typed, wide
-from loggrove.plans import pipelines
-from loggrove.sources.container import resolve_entries
+from loggrove.plans import imports, pipelines
+from loggrove.sources import staged
+from loggrove.sources.container import decode_values, resolve_entries
+from loggrove.sources.shared import shared_folder
+from loggrove.sources.stored import StoredTable
+from loggrove.streaming.incremental import choose
 
 # The metric that each event type stands for; signup is one outside the five.
 METRIC_OF = {"click": "VOLTAGE", "error": "CURRENT", "view": "POSITION", "purchase": "VELOCITY", "signup": "POWER"}
@@ -250,7 +254,119 @@ def metadata_of_match_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.match_files(_files(spark, sf_dir), metadata)
 
 
+def _session_records(spark: SparkSession, sf_dir: str, session: Column) -> DataFrame:
+    """LONG records of events: signup and error switch the active period, a purchase
+    states the match, the others are metrics."""
+    kind = F.col("event_type")
+    signal, info = kind.isin("signup", "error"), kind == "purchase"
+    return _table(spark, sf_dir, "events").select(
+        session.alias("filename"),
+        F.col("event_id").cast("long").alias("seq"),
+        F.when(signal, "DS:enabled").when(info, "NT:/FMSInfo/MatchNumber").otherwise(F.concat(F.lit("NT:R/"), kind)).alias("entry"),
+        F.when(signal, "boolean").when(info, "int64").otherwise("double").alias("data_type"),
+        F.when(kind == "signup", "True").when(kind == "error", "False").when(info, (F.col("event_id") % 90).cast("string")).otherwise(F.col("value").cast("string")).alias("value"),
+        _micros().alias("timestamp"),
+    )
+
+
+SEASON = routing.Prefixes("MetaData", "NT:R/", "NT:/P/", "NT:/FMSInfo/", ("NT:/pv/",), ("NT:/pv/",))
+_SHOWN = [f"{s}_{m}" for m in ("voltage", "position") for s in ("avg", "min", "max", "stddev")]
+
+
+def staged_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of twenty logs, staged as CSV, read back in their order and imported."""
+    path = shared_folder(spark, "staged")
+    staged.write_staged(_session_records(spark, sf_dir, F.concat(F.lit("log "), (F.col("user_id") % 20).cast("string"))), path)
+    tables = pipelines.ingest_system(staged.read_staged(spark, path), _map(spark, "ELEVATOR", {"click": "VOLTAGE", "view": "POSITION"}), spark.createDataFrame([], schemas.VISION_MAP), SEASON, "2025")
+    return _rounded(tables["device_stats"].select("filename", "event_year", "match_id", "subsystem", "component", *_SHOWN))
+
+
+def match_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of three logs each, stored and imported; the rio logs come late and
+    their matches are done anew."""
+    root, role = shared_folder(spark, "matches"), F.col("user_id") % 3
+    match = F.expr("user_id div 3").cast("string")
+    name = F.when(role == 0, F.concat(F.lit("log_"), match, F.lit(".wpilog"))).otherwise(F.concat(F.when(role == 1, "drive_").otherwise("rio_"), match, F.lit("_1.hoot")))
+    records = _session_records(spark, sf_dir, name)
+    # a device log has the entries of its map, which have no prefix
+    records = records.withColumn("entry", F.when(F.col("filename").startswith("log_"), F.col("entry")).otherwise(without_prefix(F.col("entry"), "NT:R/")))
+    listed = _table(spark, sf_dir, "events").select(name.alias("filename")).distinct()
+    files = file_sets.classify_files(listed.select(F.concat(F.lit("/in/"), "filename").alias("path"), "filename", F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("bigint").alias("modified")))
+    drive, rio = _map(spark, "DRIVE", {"click": "VOLTAGE", "view": "POSITION"}), _map(spark, "RIO", {"click": "POSITION", "view": "VOLTAGE"})
+    for new in (files.where("kind <> 'rio'"), files.where("kind = 'rio'")):
+        imports.stored(root, "records").replace(records.join(new.select("filename"), "filename", "left_semi"), new.select("filename"))
+        imports.stored(root, "files").replace(new, new.select("filename"))
+        ready, _ = imports.ready_sets(imports.read_table(spark, root, "files"), new, ("system",))
+        imports.redo_matches(spark, root, ready, imports.match_tables(ready, drive, rio, spark.createDataFrame([], schemas.VISION_MAP), SEASON, "2025"))
+    return _rounded(imports.read_table(spark, root, "device_stats").select("filename", "event_year", "match_id", "subsystem", "component", *_SHOWN))
+
+
+def import_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of new files whose names and contents meet those in the ledger."""
+    name = F.concat(F.lit("f"), (F.col("doc_id") % 200).cast("string")).alias("filename")
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), name, F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_hash"), (F.col("doc_id") % 50).alias("modified"), (F.col("doc_id") % 7 != 0).alias("is_log"), (F.col("doc_id") % 3 != 0).alias("success"))
+    done = ledger.newest_versions(files.where("doc_id % 4 = 0").select("filename", "file_hash", "success", "modified"))
+    found = choose(files.where("doc_id % 4 <> 0").drop("doc_id", "success"), done)
+    return typed.union_frames(*[f.select("path", F.lit(outcome).alias("outcome")) for outcome, f in found.items()])
+
+
+def ledger_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unsuccessful attempt at each document, then a success, entered by the clock."""
+    files = _hashed(spark, sf_dir).select("filename", "file_hash")
+    rows = ledger.attempt(files, 1, False, "started").unionByName(ledger.attempt(files, 2, True, "imported"))
+    age = F.unix_timestamp() - F.col("import_timestamp")
+    return ledger.latest(rows, ["filename"], ["attempt_id"]).select("filename", "file_hash", "success", "attempt_id", "outcome", ((age >= 0) & (age < 3600) & (F.col("import_timestamp") == F.col("last_attempt_timestamp"))).alias("is_now"))
+
+
+def decoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of several declared types as text; those that do not fit are left out."""
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    turn = F.col("event_id") % 5
+    flags = F.unhex(F.concat(two(F.col("event_id") % 2), two(F.col("event_id") % 3), two(F.col("event_id") % 7)))
+    declared = F.when(turn == 0, "boolean[]").when(turn == 1, "msgpack").when(turn == 2, "string").when(turn == 3, "boolean").otherwise("int64[]")
+    payload = F.when(turn == 0, flags).when(turn == 1, F.encode("event_type", "UTF-8")).when(turn == 2, F.encode(F.concat("event_type", F.lit("\r\n"), "event_type"), "UTF-8")).when(turn == 3, F.unhex(F.when(F.col("event_id") % 2 == 0, "01").otherwise("0100")))
+    # eight bytes for each number, the lowest first
+    payload = payload.otherwise(F.unhex(F.concat(two(F.col("event_id") % 200), F.lit("0" * 14), F.lit("f" * 16))))
+    records = _table(spark, sf_dir, "events").select(F.lit("f").alias("filename"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), declared.alias("type"), payload.alias("payload"), _micros().alias("timestamp"))
+    return decode_values(records).select("seq", "entry", "data_type", "value", F.array_join("items", "|").alias("items"))
+
+
+def unparsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a numeric type whose value is no decimal number."""
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.floor("value").cast("string"), F.lit("d"))).when(F.col("event_id") % 3 == 1, F.col("value").cast("string")).otherwise("nan")
+    kind = F.when(F.col("event_id") % 2 == 0, "double").otherwise("string")
+    return typed.unparsed(_table(spark, sf_dir, "events").select("event_id", kind.alias("data_type"), value.alias("value")))
+
+
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``summary_upsert`` in a stored table, whose second run is done twice."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.expr("nullif(o_custkey % 9, 0)").alias("part"), "o_totalprice")
+    total = lambda f: f.groupBy("o_orderpriority", "part").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    first, second = total(orders.where("o_orderkey % 2 = 0")), total(orders.where("o_orderkey % 4 = 1 and coalesce(part, 0) in (0, 1, 2)"))
+    table = StoredTable(shared_folder(spark, "summary"), first.schema, ("o_orderpriority", "part"), 8)
+    for rows in (first, second, second):
+        table.replace(rows)
+    return table.read(spark)
+
+
+def stored_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flush_file`` in a stored table: the rows of some keys go, others stay."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    table = StoredTable(shared_folder(spark, "lines"), lines.schema, ("l_suppkey",), 16)
+    table.replace(lines)
+    table.replace(lines.limit(0), _table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("l_suppkey")))
+    return table.read(spark)
+
+
 QUERIES = {
+    "staged_import": staged_import,
+    "match_import": match_import,
+    "import_choice": import_choice,
+    "ledger_attempts": ledger_attempts,
+    "decoded_values": decoded_values,
+    "unparsed_values": unparsed_values,
+    "stored_upsert": stored_upsert,
+    "stored_flush": stored_flush,
     "device_stats": device_stats,
     "device_telemetry": device_telemetry,
     "vision_telemetry": vision_telemetry,
@@ -311,6 +427,31 @@ def _wide_sql(source: str, keys: list[str], columns: dict[str, tuple[str, str]])
 _TWO_STATS = ", ".join(f"round({f}(v) FILTER (metric = '{m.upper()}'), 6) AS {a}_{m}" for m in ("voltage", "position") for a, f in (("avg", "avg"), ("min", "min"), ("max", "max"), ("stddev", "stddev_samp")))
 
 ORACLE_SQL = {
+    "staged_import": f"""WITH s AS (SELECT event_id, user_id % 20 AS f, event_type, value, epoch_us(ts) AS t_us FROM events),
+ e AS (SELECT f, min(t_us) AS enable_ts FROM s WHERE event_type = 'signup' GROUP BY f), p AS (SELECT e.f, enable_ts, max(t_us) AS terminated_ts FROM e JOIN s ON s.f = e.f AND event_type = 'error' AND t_us > enable_ts GROUP BY ALL),
+ i AS (SELECT f, CAST(arg_max(event_id % 90, event_id) AS VARCHAR) AS match_id FROM s WHERE event_type = 'purchase' GROUP BY f),
+ t AS (SELECT s.f, CASE event_type WHEN 'click' THEN 'VOLTAGE' ELSE 'POSITION' END AS metric, value AS v FROM s JOIN p ON p.f = s.f WHERE event_type IN ('click', 'view') AND t_us > enable_ts AND t_us < terminated_ts)
+ SELECT 'log ' || t.f AS filename, '2025' AS event_year, i.match_id, 'ELEVATOR' AS subsystem, 'LEAD MOTOR' AS component, {_TWO_STATS} FROM t LEFT JOIN i ON i.f = t.f GROUP BY ALL""",
+    "match_import": f"""WITH s AS (SELECT event_id, user_id // 3 AS m, user_id % 3 AS role, event_type, value, epoch_us(ts) AS t_us FROM events),
+ e AS (SELECT m, min(t_us) AS enable_ts FROM s WHERE role = 0 AND event_type = 'signup' GROUP BY m), p AS (SELECT e.m, enable_ts, max(t_us) AS terminated_ts FROM e JOIN s ON s.m = e.m AND role = 0 AND event_type = 'error' AND t_us > enable_ts GROUP BY ALL),
+ i AS (SELECT m, CAST(arg_max(event_id % 90, event_id) AS VARCHAR) AS match_id FROM s WHERE role = 0 AND event_type = 'purchase' GROUP BY m),
+ t AS (SELECT s.m, role, CASE WHEN (role = 1) = (event_type = 'click') THEN 'VOLTAGE' ELSE 'POSITION' END AS metric, value AS v FROM s JOIN p ON p.m = s.m WHERE role > 0 AND event_type IN ('click', 'view') AND t_us > enable_ts AND t_us < terminated_ts)
+ SELECT CASE role WHEN 1 THEN 'drive_' ELSE 'rio_' END || t.m || '_1.hoot' AS filename, '2025' AS event_year, i.match_id, CASE role WHEN 1 THEN 'DRIVE' ELSE 'RIO' END AS subsystem, 'LEAD MOTOR' AS component, {_TWO_STATS} FROM t LEFT JOIN i ON i.m = t.m GROUP BY t.m, role, i.match_id""",
+    "import_choice": """WITH d AS (SELECT doc_id, 'p' || doc_id AS path, 'f' || (doc_id % 200) AS filename, sha256(coalesce(text, '')) AS file_hash, doc_id % 50 AS modified, doc_id % 7 <> 0 AS is_log, doc_id % 3 <> 0 AS success FROM documents),
+ l AS (SELECT * FROM d WHERE doc_id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY filename ORDER BY modified DESC, file_hash DESC, success DESC) = 1),
+ f AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY modified DESC, file_hash DESC, path DESC) AS r FROM d WHERE doc_id % 4 <> 0 AND is_log AND file_hash NOT IN (SELECT file_hash FROM l WHERE success)),
+ n AS (SELECT *, EXISTS (SELECT 1 FROM l WHERE l.success AND l.filename = f.filename AND l.file_hash <> f.file_hash AND (l.modified > f.modified OR l.modified = f.modified AND l.file_hash > f.file_hash)) AS late FROM f WHERE r = 1)
+ SELECT path, 'not a log' AS outcome FROM d WHERE doc_id % 4 <> 0 AND NOT is_log UNION ALL SELECT path, 'superseded' FROM f WHERE r > 1 UNION ALL SELECT path, 'superseded' FROM n WHERE late
+ UNION ALL SELECT arg_min(path, filename), 'chosen' FROM n WHERE NOT late GROUP BY file_hash""",
+    "ledger_attempts": _HASHED + "SELECT filename, file_hash, true AS success, CAST(2 AS BIGINT) AS attempt_id, 'imported' AS outcome, true AS is_now FROM f",
+    "decoded_values": """WITH e AS (SELECT event_id AS seq, event_type AS entry, event_id % 5 AS turn, event_id % 200 AS low, [event_id % 2 <> 0, event_id % 3 <> 0, event_id % 7 <> 0] AS flags FROM events)
+ SELECT seq, entry, ['boolean[]', 'msgpack', 'string', 'boolean', 'int64[]'][turn + 1] AS data_type, CASE turn WHEN 0 THEN '[' || array_to_string(flags, ', ') || ']' WHEN 1 THEN lower(hex(encode(entry))) WHEN 2 THEN entry || '  ' || entry WHEN 3 THEN 'True' ELSE '[' || low || ', -1]' END AS value,
+ CASE turn WHEN 0 THEN array_to_string(list_transform(flags, lambda x: CASE WHEN x THEN 'True' ELSE 'False' END), '|') WHEN 4 THEN low || '|-1' END AS items FROM e WHERE turn <> 3 OR seq % 2 = 0""",
+    "unparsed_values": "SELECT event_id, 'double' AS data_type, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || 'd' AS value FROM events WHERE event_id % 6 = 0",
+    "stored_upsert": """WITH o AS (SELECT *, nullif(o_custkey % 9, 0) AS part FROM orders), a AS (SELECT o_orderpriority, part, count(*) AS n, max(o_totalprice) AS top FROM o WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+ b AS (SELECT o_orderpriority, part, count(*) AS n, max(o_totalprice) AS top FROM o WHERE o_orderkey % 4 = 1 AND o_custkey % 9 IN (0, 1, 2) GROUP BY ALL)
+ SELECT * FROM b UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_orderpriority IS NOT DISTINCT FROM a.o_orderpriority AND b.part IS NOT DISTINCT FROM a.part)""",
+    "stored_flush": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 3)",
     "device_stats": f"SELECT user_id, {_STATS} FROM (SELECT user_id, {_CASE} AS metric, value - CASE WHEN event_type = 'purchase' THEN 50 ELSE 0 END AS v FROM events) WHERE metric IS NOT NULL GROUP BY user_id",
     "device_telemetry": _wide_sql(
         f"WITH v AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, nullif(user_id % 7, 0) AS component, {_CASE} AS metric, value AS n FROM events)",

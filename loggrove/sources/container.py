@@ -331,14 +331,14 @@ def entry_intervals(controls: DataFrame, session: list[str], entry_id: str = "en
     return marks.withColumn("to_seq", F.lead("from_seq").over(window)).where(F.col(kind) == "start").select(*session, entry_id, "from_seq", "to_seq", *carry)
 
 
-def resolve_entries(records: DataFrame, session: list[str], entry_id: str = "entry_id", order: str = "seq", kind: str = "kind", carry: tuple[str, ...] = ("name", "type"), controls: DataFrame | None = None) -> DataFrame:
+def resolve_entries(records: DataFrame, session: list[str], entry_id: str = "entry_id", order: str = "seq", kind: str = "kind", carry: tuple[str, ...] = ("name", "type"), controls: DataFrame | None = None, intervals: DataFrame | None = None) -> DataFrame:
     """The data rows whose last control row of the same entry is a start, with
     that start's columns. Data rows meet the intervals of ``entry_intervals`` on
-    their key and range, so they are neither sorted nor gathered by entry: while
-    the intervals are small Spark broadcasts them and data rows stay where they are
-    read, else it splits an entry that has most of a file. ``controls``: where the
-    control rows are read from, if not from ``records``."""
-    spans = entry_intervals(records if controls is None else controls, session, entry_id, order, kind, carry)
+    their key and range, so an entry is not gathered: Spark splits one that has most of a
+    file. ``controls``: where the control rows are read from, if not from ``records``.
+    ``intervals``, as a stored table, spares the data rows their shuffle too while the
+    table is small enough for Spark to broadcast it."""
+    spans = entry_intervals(records if controls is None else controls, session, entry_id, order, kind, carry) if intervals is None else intervals
     spans = spans.select(*[F.col(c).alias(f"own_{c}") for c in (*session, entry_id)], "from_seq", "to_seq", *[F.col(c).alias(f"live_{c}") for c in carry])
     met = (F.col(order) > F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col(order) < F.col("to_seq")))
     for c in (*session, entry_id):

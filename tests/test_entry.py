@@ -21,6 +21,8 @@ def test_the_rest_works_without_the_training_data_part(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'device_stats' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k != 'orphan_files'); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
+    code = "from pyspark.sql import SparkSession as S; import __spark_entry__ as e; s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); q = e.queries(); [q[k](s, '/root/testdata/sf0.001').count() for k in ('device_stats', 'decoded_values', 'stored_flush', 'import_choice')]; assert e.entry(s).count()"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env={**env, "PYTHONPATH": str(copy)}, check=True)
 
 
 def test_nothing_else_names_the_training_data_part():
