@@ -4,9 +4,9 @@ Large-star and small-star steps in turn: each hangs the neighbours of a node on
 the smallest of them, so chains shorten fast and the number of edges never
 grows. Every step is a min per node (pre-aggregated before the shuffle) and a
 join with it; the join's key is an expression of its own, so that both sides are
-shuffled for it and Spark can split the rows of a hub. Before each step the edges that
-lie in one partition, as they happen to, are joined there to stars, which moves
-nothing and saves rounds. Each round is written to the shared folder, where a lost
+shuffled for it and Spark can split the rows of a hub. Before each step the edges are
+read by tasks of a million each, as they happen to lie, and joined there to stars: no task
+has more, and what one can hold needs no further step. Each round is written to the shared folder, where a lost
 executor's successor finds it. Rounds end when all edges lead from a node that no edge
 leads to, to a single smallest one.
 """
@@ -49,8 +49,9 @@ def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[keep], node[root[keep]]
 
 
-def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Stars of the edges of each partition, ``most`` edges at a time."""
+def _contracted(edges: DataFrame, tasks: int, together: int) -> DataFrame:
+    """Stars of the edges that come together in each of ``tasks`` tasks, ``together``
+    at a time."""
 
     def stars(held):
         u, v = local_stars(*(np.concatenate([h[k] for h in held]) for k in range(2)))
@@ -59,16 +60,15 @@ def _contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            if batch.num_rows:
-                held.append([np.asarray(batch.column(k)) for k in ("u", "v")])
-                n += batch.num_rows
-            if n >= most:
+            if n + batch.num_rows > together and held:
                 yield stars(held)
                 held, n = [], 0
+            held.append([np.asarray(batch.column(k)) for k in ("u", "v")])
+            n += batch.num_rows
         if held:
             yield stars(held)
 
-    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+    return edges.select("u", "v").coalesce(tasks).mapInArrow(run, "u long, v long")
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -79,20 +79,23 @@ def _settled(edges: DataFrame) -> bool:
     return odd.isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, together: int = 1_000_000) -> DataFrame:
     """node, component (its smallest node) of every node of an edge. Edges may
     repeat or have two equal ends (such an edge stays and makes its node known);
     null ends are left out."""
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    now = written(_contracted(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))).distinct(), "edges")
+    now = written(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")), "edges")
     for _ in range(most_rounds):
-        if _settled(now):
+        # some ``together`` edges a task, so a graph of that size is done in one
+        tasks = max(1, -(-now.count() // together))
+        now = written(_contracted(now, tasks, together).distinct() if tasks > 1 else _contracted(now, 1, together), "edges")
+        if tasks == 1 or _settled(now):
             break
         both = now.where("u != v").unionByName(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _joined_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _joined_with_least(large)
         step = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(_contracted(step.unionByName(now.where("u = v"))).distinct(), "edges")
+        now = written(step.unionByName(now.where("u = v")).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     tree = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -78,9 +78,10 @@ def test_odd_rows(spark, make_docs, odd_texts):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "6", "7", "None", "-3"])
 
 
-def test_components_of_chains_hubs_and_loops(spark):
+@pytest.mark.parametrize("together", [1_000_000, 64])
+def test_components_of_chains_hubs_and_loops(spark, together):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(7000, 7000), (None, 4), (8, 8), (5, 3), (5, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), together=together).collect()}
     assert all(got[k] == 0 for k in range(201)) and all(got[k] == 1000 for k in range(1000, 1100)) and got[7000] == 7000
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
