@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +30,8 @@ from loggrove.streaming.incremental import import_new, ledger_attempts
 
 RAW_TABLES = ("log_metadata", "device_data_raw", "vision_data_raw", "preferences")
 SUMMARY_KEYS = ("event", "match_id", "subsystem", "component", "part", "type", "metric")
+#: Counters of ``decode_values``.
+DECODING = ("decoded", "misfit", "unhandled")
 #: Makes raw tables of LONG records.
 Raw = Callable[[DataFrame], dict[str, DataFrame]]
 
@@ -55,14 +58,29 @@ def _conditions(metadata_prefix: str | None) -> dict:
     return {"unrouted": F.col("entry").isNull(), "unparsed": no_number(), "malformed_metadata": F.coalesce(lines, F.lit(False))}
 
 
+def _observed(observation: Observation, names: tuple[str, ...]) -> dict[str, int]:
+    """What a pass has counted: nothing where Spark found that it has no rows, and left it
+    out together with its counters."""
+    try:
+        found = observation.get
+    except Py4JJavaError as e:
+        # an observation without a row cannot be handed over
+        if "assertion failed" not in str(e.java_exception):
+            raise
+        found = {}
+    return {n: int(found.get(n) or 0) for n in names}
+
+
 def _store_records(root: str, records: DataFrame, files: DataFrame, number: int, metadata_prefix: str | None, also: dict[str, int], decoding: Observation | None = None) -> None:
     """Writes the records of ``files`` in place of those they have, and the counts
     that the same pass makes."""
     seen = Observation()
     counted = [F.count(F.when(c, 1)).alias(k) for k, c in _conditions(metadata_prefix).items()]
     stored(root, "records").replace(records.select(*LONG.names).observe(seen, F.count(F.lit(1)).alias("records"), *counted), files.select("filename"))
-    counts = also | seen.get | (decoding.get if decoding else {})
-    rows = records.sparkSession.createDataFrame([(number, k, int(n)) for k, n in counts.items()], COUNTS)
+    counts = also | _observed(seen, ("records", *_conditions(metadata_prefix)))
+    if decoding is not None:
+        counts |= _observed(decoding, DECODING)
+    rows = records.sparkSession.createDataFrame([(number, k, n) for k, n in counts.items()], COUNTS)
     rows.coalesce(1).write.mode("append").parquet(f"{root}/counts")
 
 
@@ -163,6 +181,8 @@ def import_matches(spark: SparkSession, path: str, root: str, drive_map: DataFra
         session = new.sparkSession
         known = classify_files(new)
         placed = known.where("kind is not null and match_id is not null")
+        if placed.isEmpty():
+            return {"unmatched": known}
         _decode(root, placed, records.join(placed.select("filename"), "filename", "left_semi"), number, True, prefixes.metadata)
         stored(root, "files").replace(placed, placed.select("filename"))
         ready, waiting = ready_sets(stored(root, "files").read(session), placed, need)

@@ -281,3 +281,15 @@ def test_ledger_helpers(spark):
     rows = spark.createDataFrame([("a", "h", 1), ("a", "k", 1), ("b", "h", 3)], "filename string, file_hash string, modified long")
     assert sorted(map(tuple, ledger.newest_versions(rows).collect())) == [("a", "k", 1), ("b", "h", 3)]
     assert sorted(map(tuple, ledger.one_of_content(rows).collect())) == [("a", "h", 1), ("a", "k", 1)]
+
+
+def test_a_log_without_records_and_files_without_a_match_import_as_nothing(spark, tmp_path, maps):  # noqa: F811
+    logs, root = str(tmp_path / "logs"), str(tmp_path / "tables")
+    write(logs, "empty_Q1.wpilog", header())
+    import_systems(spark, logs, root, *maps, PREFIXES).awaitTermination()
+    assert outcomes(spark, root) == {"empty_Q1.wpilog": (True, "imported")}
+    assert read_table(spark, root, "records").isEmpty() and read_table(spark, root, "device_stats").isEmpty()
+    others, matches = str(tmp_path / "others"), str(tmp_path / "matches")
+    write(others, "notes.txt", header() + start(1, "V", "double"))
+    import_matches(spark, others, matches, maps[0], maps[0], maps[1], PREFIXES).awaitTermination()
+    assert outcomes(spark, matches) == {"notes.txt": (False, "unmatched")}
