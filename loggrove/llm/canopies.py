@@ -269,22 +269,45 @@ def _open_members(placed: DataFrame, components: DataFrame) -> DataFrame:
     return rows.select("id", "canopy", "component", (F.col("component") != F.col("main")).alias("stray"), "signature")
 
 
-def _prefix_rows(full: DataFrame, members: DataFrame, part: int, whole: int) -> DataFrame:
-    """A row for each set and each shingle of its prefix that sets of other
-    components have too, among them a stray."""
-    own = full.join(members, "id").withColumn("size", F.size("words"))
-    each = own.select("id", "canopy", "component", "stray", F.explode("words").alias("token"))
-    counts = each.groupBy("canopy", "token").agg(F.count("*").alias("df"), F.max("stray").alias("useful"), (F.min("component") != F.max("component")).alias("mixed")).where("df > 1")
-    counts = counts.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), "df", (F.col("useful") & F.col("mixed")).alias("useful"))
-    shared = each.withColumn("key", F.xxhash64("canopy", "token")).join(counts.hint("merge"), "key").where("canopy = of and token = shingle")
-    by_set = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "useful"))).alias("rare"))
+def _tokens(own: DataFrame) -> DataFrame:
+    """A row for each shingle of each set, with the key of shingle and canopy."""
+    each = own.select("id", "canopy", "component", "stray", "size", F.explode("words").alias("token"))
+    return each.withColumn("key", F.xxhash64("canopy", "token"))
+
+
+def _prefixes(own: DataFrame, counts: DataFrame, part: int, whole: int) -> DataFrame:
+    """The prefix of each set, a row for each shingle, with its place in the set's
+    order (by how many sets of the canopy have it, rare ones first). Left out are
+    shingles that no stray has, or one component alone, and those from which on too
+    little is left for a link, even with the smallest set that has them: the first
+    shingle that two linked sets share has all they share from there on."""
+    shared = _tokens(own).join(counts.hint("merge"), "key").where("canopy = of and token = shingle")
+    by_set = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "useful", "least"))).alias("rare"))
     by_set = by_set.join(own.select("id", "canopy", "component", "stray", "signature", "size"), "id")
     prefix = F.col("size") - F.ceil(F.col("size") * part / whole) + 1
     # shingles that no other set has come first
     left = F.greatest(prefix - (F.col("size") - F.size("rare")), F.lit(0)).cast("int")
     rows = by_set.withColumn("place", F.col("size") - F.size("rare")).withColumn("rare", F.slice("rare", 1, left))
     rows = rows.select("id", "canopy", "component", "stray", "signature", "size", "place", F.posexplode("rare").alias("k", "x")).where("x.useful")
-    return rows.select("id", "canopy", "component", "stray", "signature", "size", (F.col("place") + F.col("k")).alias("place"), F.col("x.token").alias("token"))
+    rows = rows.select("id", "canopy", "component", "stray", "signature", "size", (F.col("place") + F.col("k")).alias("place"), F.col("x.token").alias("token"), "x.least")
+    return rows.where((whole + part) * (F.col("size") - F.col("place")).cast("long") >= part * (F.col("size") + F.col("least")).cast("long")).drop("least")
+
+
+def _prefix_rows(full: DataFrame, members: DataFrame, part: int, whole: int) -> DataFrame:
+    """A row for each set and each shingle of its prefix that sets of other
+    components have too, among them a stray. Strays come first; of the sets in a
+    largest component only those that have a shingle of a stray's prefix are
+    ordered at all, so a group of near copies with few strays is counted only."""
+    own = written(full.join(members, "id").withColumn("size", F.size("words")), "open-sets", release=True)
+    counts = _tokens(own).groupBy("canopy", "token").agg(F.count("*").alias("df"), F.max("stray").alias("useful"), (F.min("component") != F.max("component")).alias("mixed"), F.min("size").alias("least")).where("df > 1")
+    counts = counts.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), "df", (F.col("useful") & F.col("mixed")).alias("useful"), "least")
+    counts = written(counts, "counts", release=True)
+    strays = written(_prefixes(own.where("stray"), counts, part, whole), "strays", release=True)
+    wanted = strays.select(F.xxhash64("canopy", "token").alias("key")).distinct()
+    main = own.where("not stray")
+    # equal keys of other shingles let a set through that the prefix join drops
+    hit = _tokens(main).select("id", "key").join(wanted.hint("merge"), "key", "left_semi").select("id").distinct()
+    return strays.unionByName(_prefixes(main.join(hit, "id", "left_semi"), counts, part, whole))
 
 
 def _stray_pairs(prefixes: DataFrame, part: int, whole: int, least: float) -> DataFrame:

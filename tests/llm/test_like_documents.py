@@ -77,3 +77,24 @@ def test_rows_and_moved_sets_grow_with_a_group_of_near_copies(spark, make_docs,
         assert got == 1
     for small, large in zip(*moved):
         assert large <= 2.2 * small
+
+
+def test_near_copies_that_share_no_rare_shingle_with_a_stray_are_not_ordered(spark, make_docs, monkeypatch):
+    # 400 near copies, five texts less like them, one of which has one near copy's own words
+    ordered, prefixes = [], canopies._prefixes
+
+    def counted(own, *rest):
+        ordered.append(own.count())
+        return prefixes(own, *rest)
+
+    monkeypatch.setattr(canopies, "_prefixes", counted)
+    r = random.Random(3)
+    base = words(60, 5)
+    texts = [(k, base[:j] + words(1, 100 + k) + base[j + 1 :]) for k in range(400) if (j := r.randrange(40)) >= 0]
+    texts += [(1000 + k, base[:52] + words(8, 900 + k)) for k in range(5)]
+    texts.append((2000, texts[7][1][:50] + words(10, 999)))
+    texts = [(k, " ".join(t)) for k, t in texts]
+    want, _ = brute_classes(texts, 4)
+    assert {x.doc_id: x.component_id for x in near_duplicates(make_docs(texts), shingle_words=4).collect()} == want
+    assert len(set(want.values())) == 7
+    assert ordered[0] == 6 and ordered[1] <= 20
