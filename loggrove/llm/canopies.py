@@ -10,7 +10,7 @@ drops those that cannot be links, and what is left joins sets into canopies.
    sets are compared in full; a block gives one edge for each set it links.
 2. Where a large canopy is still in several components, the rest is exact: a set
    outside its canopy's largest component can only be linked with one that shares
-   one of its rarest shingles (the prefix of a similarity join). Sets that do,
+   one of its own rarest shingles (the prefix of a similarity join). Sets that do,
    and are in other components, are compared by signature and then in full.
 
 So a group of n near copies moves each set a fixed number of times and gives
@@ -275,44 +275,46 @@ def _tokens(own: DataFrame) -> DataFrame:
     return each.withColumn("key", F.xxhash64("canopy", "token"))
 
 
-def _prefixes(own: DataFrame, counts: DataFrame, part: int, whole: int) -> DataFrame:
-    """The prefix of each set, a row for each shingle, with its place in the set's
+def _prefixes(strays: DataFrame, counts: DataFrame, part: int, whole: int) -> DataFrame:
+    """The prefix of each stray, a row for each shingle, with its place in the set's
     order (by how many sets of the canopy have it, rare ones first). Left out are
-    shingles that no stray has, or one component alone, and those from which on too
-    little is left for a link, even with the smallest set that has them: the first
-    shingle that two linked sets share has all they share from there on."""
-    shared = _tokens(own).join(counts.hint("merge"), "key").where("canopy = of and token = shingle")
-    by_set = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "useful", "least"))).alias("rare"))
-    by_set = by_set.join(own.select("id", "canopy", "component", "stray", "signature", "size"), "id")
+    shingles that one component alone has, and those from which on too little is
+    left for a link, even with the smallest set that has them: the first shingle
+    that two linked sets share has all they share from there on."""
+    shared = _tokens(strays).join(counts.hint("merge"), "key").where("canopy = of and token = shingle")
+    by_set = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mixed", "least"))).alias("rare"))
+    by_set = by_set.join(strays.select("id", "canopy", "component", "stray", "signature", "size"), "id")
     prefix = F.col("size") - F.ceil(F.col("size") * part / whole) + 1
     # shingles that no other set has come first
     left = F.greatest(prefix - (F.col("size") - F.size("rare")), F.lit(0)).cast("int")
     rows = by_set.withColumn("place", F.col("size") - F.size("rare")).withColumn("rare", F.slice("rare", 1, left))
-    rows = rows.select("id", "canopy", "component", "stray", "signature", "size", "place", F.posexplode("rare").alias("k", "x")).where("x.useful")
+    rows = rows.select("id", "canopy", "component", "stray", "signature", "size", "place", F.posexplode("rare").alias("k", "x")).where("x.mixed")
     rows = rows.select("id", "canopy", "component", "stray", "signature", "size", (F.col("place") + F.col("k")).alias("place"), F.col("x.token").alias("token"), "x.least")
     return rows.where((whole + part) * (F.col("size") - F.col("place")).cast("long") >= part * (F.col("size") + F.col("least")).cast("long")).drop("least")
 
 
 def _prefix_rows(full: DataFrame, members: DataFrame, part: int, whole: int) -> DataFrame:
-    """A row for each set and each shingle of its prefix that sets of other
-    components have too, among them a stray. Strays come first; of the sets in a
-    largest component only those that have a shingle of a stray's prefix are
-    ordered at all, so a group of near copies with few strays is counted only."""
+    """A row for each stray and each shingle of its prefix, and for each set of a
+    largest component and each of its shingles that is in the prefix of a stray of
+    like size. Only strays are ordered: a set that is linked with one has a shingle
+    of the stray's prefix, wherever its own order has it (place 0 stands for any).
+    So the sets of a large group of near copies move by the few shingles that
+    strays ask for."""
     own = written(full.join(members, "id").withColumn("size", F.size("words")), "open-sets", release=True)
-    counts = _tokens(own).groupBy("canopy", "token").agg(F.count("*").alias("df"), F.max("stray").alias("useful"), (F.min("component") != F.max("component")).alias("mixed"), F.min("size").alias("least")).where("df > 1")
-    counts = counts.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), "df", (F.col("useful") & F.col("mixed")).alias("useful"), "least")
-    counts = written(counts, "counts", release=True)
+    counts = _tokens(own).groupBy("canopy", "token").agg(F.count("*").alias("df"), F.max("stray").alias("wanted"), (F.min("component") != F.max("component")).alias("mixed"), F.min("size").alias("least")).where("df > 1 and wanted")
+    counts = counts.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), "df", "mixed", "least")
     strays = written(_prefixes(own.where("stray"), counts, part, whole), "strays", release=True)
-    wanted = strays.select(F.xxhash64("canopy", "token").alias("key")).distinct()
+    asked = strays.groupBy("canopy", "token").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    asked = asked.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), "least", "most")
     main = own.where("not stray")
-    # equal keys of other shingles let a set through that the prefix join drops
-    hit = _tokens(main).select("id", "key").join(wanted.hint("merge"), "key", "left_semi").select("id").distinct()
-    return strays.unionByName(_prefixes(main.join(hit, "id", "left_semi"), counts, part, whole))
+    met = _tokens(main).join(asked.hint("merge"), "key").where("canopy = of and token = shingle").where((whole * F.col("size") >= part * F.col("least")) & (part * F.col("size") <= whole * F.col("most")))
+    rows = met.select("id", "token").join(main.select("id", "canopy", "component", "stray", "signature", "size", F.lit(0).alias("place")), "id")
+    return strays.unionByName(rows.select(*strays.columns))
 
 
 def _stray_pairs(prefixes: DataFrame, part: int, whole: int, least: float) -> DataFrame:
     """Pairs (a, b) of a stray and a set of another component that share a
-    shingle of their prefixes and whose signatures, sizes and rests from that
+    shingle of the stray's prefix and whose signatures, sizes and rests from that
     shingle on (if it is the first they share) allow a link."""
     counts = prefixes.groupBy("canopy", "token").agg(F.count("*").alias("all"), F.count_if("stray").alias("strays")).where("strays > 0 and all > 1")
     counts = counts.select(F.xxhash64("canopy", "token").alias("key"), F.col("canopy").alias("of"), F.col("token").alias("shingle"), F.ceil(F.col("strays") / STRAYS).alias("high"), F.ceil(F.col("all") / OTHERS).alias("wide"))

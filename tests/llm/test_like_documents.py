@@ -79,15 +79,20 @@ def test_rows_and_moved_sets_grow_with_a_group_of_near_copies(spark, make_docs,
         assert large <= 2.2 * small
 
 
-def test_near_copies_that_share_no_rare_shingle_with_a_stray_are_not_ordered(spark, make_docs, monkeypatch):
+def test_near_copies_move_by_the_shingles_that_strays_ask_for(spark, make_docs, monkeypatch):
     # 400 near copies, five texts less like them, one of which has one near copy's own words
-    ordered, prefixes = [], canopies._prefixes
+    ordered, moved, prefixes, pairs = [], [], canopies._prefixes, canopies._stray_pairs
 
     def counted(own, *rest):
         ordered.append(own.count())
         return prefixes(own, *rest)
 
+    def met(rows, *rest):
+        moved.append(rows.count())
+        return pairs(rows, *rest)
+
     monkeypatch.setattr(canopies, "_prefixes", counted)
+    monkeypatch.setattr(canopies, "_stray_pairs", met)
     r = random.Random(3)
     base = words(60, 5)
     texts = [(k, base[:j] + words(1, 100 + k) + base[j + 1 :]) for k in range(400) if (j := r.randrange(40)) >= 0]
@@ -97,4 +102,18 @@ def test_near_copies_that_share_no_rare_shingle_with_a_stray_are_not_ordered(spa
     want, _ = brute_classes(texts, 4)
     assert {x.doc_id: x.component_id for x in near_duplicates(make_docs(texts), shingle_words=4).collect()} == want
     assert len(set(want.values())) == 7
-    assert ordered[0] == 6 and ordered[1] <= 20
+    # of 23,000 shingles
+    assert ordered == [6] and moved[0] < 1000
+
+
+def test_a_stray_meets_smaller_and_larger_sets_of_the_largest_component(spark, make_docs, monkeypatch):
+    # links at the threshold between sets of other sizes, which no block finds
+    monkeypatch.setattr(canopies, "BLOCK", 8)
+    monkeypatch.setattr(canopies, "OVERLAP", 1)
+    r = random.Random(12)
+    base = words(120, 77)
+    texts = [(k, base[:j] + words(1, 300 + k) + base[j + 1 :]) for k in range(60) if (j := r.randrange(120)) >= 0]
+    texts += [(100 + k, base[: 92 + k % 6] if k % 2 else base + words(20 + k % 9, 400 + k)) for k in range(60)]
+    texts = [(k, " ".join(t)) for k, t in texts]
+    want, _ = brute_classes(texts, 4)
+    assert {x.doc_id: x.component_id for x in near_duplicates(make_docs(texts), shingle_words=4).collect()} == want
