@@ -1,7 +1,10 @@
 """Exact links between sets that share a canopy, without all pairs of it.
 
-``forest_pairs`` finds likely pairs from sorted signature orders, ``likely``
-drops those that cannot be links, and what is left joins sets into canopies.
+``forest`` finds likely pairs from sorted signature orders, ``likely`` drops
+those that cannot be links, and what is left joins sets into canopies. Sets that
+share the first values of a tree but are in several canopies are compared with
+each other, all with all (``crossings``), so that two sets that share such values
+and may be a link are in one canopy, whatever lies between them.
 ``linked_components`` then confirms links on full sets:
 
 1. A canopy of up to ``BLOCK`` sets is one block. A larger one is sorted by its
@@ -34,20 +37,26 @@ from loggrove.llm.shingles import Shingler, set_digest
 BLOCK, OVERLAP, ORDERS = 128, 16, 3
 #: Sets outside the largest component, and all sets, that meet in one cell of step 2.
 STRAYS, OTHERS = 128, 512
+#: Sets of a tree's bucket that meet as many others in one cell.
+CROWD = 4096
 
 
 def signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFrame:
-    """Pairs (a, b) of nodes that follow one another in a tree's order and share
+def forest(sets: DataFrame, trees: int, depth: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Pairs (a, b) of nodes that follow one another in a tree's order and share
     its first ``depth`` values (4), or are within ``reach`` places and share as long
     a prefix as both share with their nearest neighbours: the depth adapts to how
     crowded a region is. What stands between two rows shares their prefix too, so
-    next neighbours make a chain of any region, however many it holds. Tree t sorts by the sixteen values from t * depth
+    next neighbours make a chain of any region, however many it holds. And (node, bucket) of each
+    node that shares its first ``depth`` values of a tree with another one (some rows come twice); equal buckets
+    are equal values of one tree. Tree t sorts by the sixteen values from t * depth
     on, wrapping around. Rows at the borders of the sort's partitions meet in a
     step of their own."""
+    if not 0 < depth < 8 or trees > 127:
+        raise ValueError("a bucket's key has seven values and a tree below 128")
 
     def shared(x, y, lag):
         """Values of the common prefix of rows that are ``lag`` apart."""
@@ -97,20 +106,25 @@ def forest_pairs(sets: DataFrame, trees: int, depth: int, reach: int) -> DataFra
             # a pair that several lags or batches yield is yielded once
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             none = pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none[0], none[1], none[1]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none[0], none[1], none[1], none[1]], names=names)
+            met = best >= depth
+            bucket = (tree[met].astype(np.int64) << 8 * depth) | ((near[met] >> (64 - 8 * depth)) & ((1 << 8 * depth) - 1))
+            none = pa.nulls(len(bucket), pa.int32()), pa.nulls(len(bucket), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[met]), none[1], none[0], none[1], none[1], pa.array(bucket)], names=names)
         for border in [] if head is None else [head, kept]:
             tree, near, far, node = (pa.array(x) for x in border)
-            yield pa.RecordBatch.from_arrays([node, pa.nulls(len(node), pa.int64()), tree, near, far], names=names)
+            yield pa.RecordBatch.from_arrays([node, pa.nulls(len(node), pa.int64()), tree, near, far, pa.nulls(len(node), pa.int64())], names=names)
 
-    names = ["a", "b", "tree", "near", "far"]
-    schema = "a long, b long, tree int, near long, far long"
+    names = ["a", "b", "tree", "near", "far", "bucket"]
+    schema = "a long, b long, tree int, near long, far long, bucket long"
     order = ["tree", "near", "far", "node"]
     rows = sets.select("node", "signature").mapInArrow(expand, "tree int, near long, far long, node long")
     found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, schema), "forest", release=True)
     # 2 * reach rows of each partition
-    borders = found.where("b is null").select("tree", "near", "far", F.col("a").alias("node")).distinct()
+    borders = found.where("tree is not null").select("tree", "near", "far", F.col("a").alias("node")).distinct()
     across = borders.coalesce(1).sortWithinPartitions(*order).mapInArrow(neighbours, schema)
-    return found.unionByName(across).where("b is not null and a != b").select("a", "b").distinct()
+    found = found.unionByName(across)
+    return found.where("b is not null and a != b").select("a", "b").distinct(), found.where("bucket is not null").select(F.col("a").alias("node"), "bucket")
 
 
 def least_share(part: int, whole: int, values: int) -> float:
@@ -134,6 +148,73 @@ def likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def crossings(buckets: DataFrame, canopies: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that join all canopies of which two sets are in a bucket and have
+    signatures that agree in a share of at least ``least``. Sets of one
+    canopy are not compared. A bucket of more than ``CROWD`` sets is dealt over cells, each
+    pair of whose parts meets in one; a cell gives one pair for each two canopies that it
+    joins at most. So memory is bounded, and only comparisons, not rows that
+    leave a cell, have the square of a crowd."""
+    rows = buckets.distinct().join(canopies.select("node", F.col("component").alias("canopy")), "node", "left").withColumn("canopy", F.coalesce("canopy", "node"))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("canopy").alias("low"), F.max("canopy").alias("high")).where("low != high")
+    several = several.select(F.col("bucket").bitwiseXOR(F.lit(-1)).alias("key"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    # the join's own key makes Spark shuffle both sides for it, so that it can split a large bucket
+    rows = rows.withColumn("key", F.col("bucket").bitwiseXOR(F.lit(-1))).join(several.hint("merge"), "key")
+    rows = rows.select("bucket", "node", "canopy", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own")).join(sets.select("node", "signature"), "node")
+    # part p meets itself and every other part: cell (i, j) with i <= j has the parts i and j
+    cells = rows.select("bucket", "node", "canopy", "own", "signature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "canopy", "own", "signature")
+
+    def compare(batches):
+        def of_cell(held, alone):
+            node, canopy, own = (np.concatenate([h[k] for h in held]) for k in range(3))
+            s = np.concatenate([h[3] for h in held])
+            order = np.argsort(canopy, kind="stable")
+            node, canopy, own, s = node[order], canopy[order], own[order], s[order]
+            name, at = np.unique(canopy, return_inverse=True)
+            if len(name) == 1:
+                return
+            root, first, second = np.arange(len(name)), [], []
+            wanted = int(np.ceil(least * s.shape[1] - 1e-9))
+            for k in range(len(node) - 1):
+                # those of later canopies; sets of one part meet in that part's own cell
+                rest = np.searchsorted(at, at[k], side="right")
+                fits = root[at[rest:]] != root[at[k]]
+                if not alone:
+                    fits &= own[rest:] != own[k]
+                fits = rest + np.flatnonzero(fits)
+                if len(fits):
+                    fits = fits[(s[fits] == s[k]).sum(axis=1) >= wanted]
+                for x in fits.tolist():
+                    if root[at[x]] != root[at[k]]:
+                        root[root == root[at[x]]] = root[at[k]]
+                        first.append(node[k])
+                        second.append(node[x])
+            if first:
+                a, b = np.array(first, np.int64), np.array(second, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+            node, canopy, own = (np.asarray(batch.column(c)) for c in ("node", "canopy", "own"))
+            s = signature_rows(batch.column("signature"))
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for x, y in zip(cuts, cuts[1:]):
+                if tuple(at[x]) != key:
+                    if held:
+                        yield from of_cell(held, key[1] == key[2])
+                    key, held = tuple(at[x]), []
+                held.append((node[x:y], canopy[x:y], own[x:y], s[x:y]))
+        if held:
+            yield from of_cell(held, key[1] == key[2])
+
+    cell = ["bucket", "i", "j"]
+    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long")
+
+
 def linked(sets: list[np.ndarray], part: int, whole: int) -> np.ndarray:
     """Root of each set after joining all pairs with whole * |both| >= part *
     |either|."""
@@ -369,12 +450,21 @@ def confirmed(pairs: DataFrame, full: DataFrame, part: int, whole: int) -> DataF
     return sides.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double")
 
 
-def linked_components(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle_words: int, part: int, whole: int, values: int) -> DataFrame:
+def canopies_of(sets: DataFrame, trees: int, depth: int, reach: int, least: float) -> DataFrame:
+    """node, component of the sets (node, signature) that are in a canopy."""
+    pairs, buckets = forest(sets, trees, depth, reach)
+    near = written(connected_components(likely(pairs, sets, least)), "canopies", release=True)
+    more = written(crossings(buckets, near, sets, least), "crossings", release=True)
+    if more.isEmpty():
+        return near
+    return written(connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "canopies", release=True)
+
+
+def linked_components(docs: DataFrame, sets: DataFrame, canopies: DataFrame, shingle_words: int, part: int, whole: int, values: int) -> DataFrame:
     """node, component of every set that has a link. ``docs`` are doc_id and
     text, ``sets`` node, digest and signature (``values`` bytes) of distinct sets,
-    ``pairs`` candidates (a, b)."""
+    ``canopies`` node and component of those that may have one."""
     least = least_share(part, whole, values)
-    canopies = written(connected_components(likely(pairs, sets, least)), "canopies", release=True)
     placed = written(_placed(canopies, sets), "placed", release=True)
     blocks = _blocks(placed, values).groupBy("id").agg(F.collect_list(F.struct("kind", "block")).alias("blocks"))
     full = written(full_sets(docs, placed.select("id", "digest").join(blocks, "id"), shingle_words), "sets", release=True)

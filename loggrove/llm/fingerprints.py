@@ -4,8 +4,9 @@ A fingerprint has the smallest values of ``VALUES`` permutations over a text's
 set of five-word shingles (their low eight bits, as hex); the share of equal
 values estimates the Jaccard similarity of two sets. To find like documents, all
 values are grouped into ``BANDS`` bands of ``ROWS``. Each band brings documents
-with equal values together, sorted by the values after them, and neighbours are
-candidates. Candidates are then verified by their full sets as ``canopies``
+with equal values together, sorted by the values after them; neighbours are
+candidates, and those of a band that these leave apart are compared with each
+other. Candidates are then verified by their full sets as ``canopies``
 states: a large band needs neither all its pairs nor a leader. ``class_id`` is
 the smallest id that a chain of verified links (or an equal set) reaches.
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.llm.canopies import forest_pairs, linked_components
+from loggrove.llm.canopies import canopies_of, least_share, linked_components
 from loggrove.llm.common import slices, whole_text, written
 from loggrove.llm.shingles import MinHasher, Shingler, set_digest
 
@@ -143,7 +144,8 @@ def fingerprint_table(docs: DataFrame, part: int = 80, whole: int = 100, shingle
     table = edited_fingerprints(docs, shingle_words)
     sets = table.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("values").alias("signature"))
     sets = written(sets, "distinct", release=True)
-    classes = linked_components(texts, sets, forest_pairs(sets, BANDS, ROWS, REACH), shingle_words, part, whole, VALUES)
+    canopies = canopies_of(sets, BANDS, ROWS, REACH, least_share(part, whole, VALUES))
+    classes = linked_components(texts, sets, canopies, shingle_words, part, whole, VALUES)
     classes = sets.join(classes, "node", "left").select(F.col("digest").alias("own"), F.coalesce("component", "node").alias("class_id"))
     # a key of its own makes Spark shuffle both sides for the join, so that it can split a set of many copies
     found = table.withColumn("key", F.xxhash64("digest")).join(classes.withColumn("key", F.xxhash64("own")).hint("merge"), "key", "left").where("own is null or own = digest")

@@ -7,12 +7,12 @@ those that share at least ``depth`` values are candidates. Where many sets share
 that much, the nearest ones share more: the denser a region, the deeper it is
 searched. A pair at similarity s shares the first values of a tree with probability
 s**depth, so one at 0.8 shares none of 24 with probability 3e-6; in a crowd, more
-than ``reach`` sets may lie between the two in all trees.
+than ``reach`` sets may lie between the two in all trees, so sets that share the first
+values of a tree and are still apart are compared with each other.
 
-Therefore candidates are not links but join sets into canopies, which need no
-direct neighbours, and links inside a canopy are exact (``canopies``). A link
-between two canopies is lost; ``tests/llm/test_like_documents.py`` compares
-a crowd with all its pairs.
+Candidates are not links but join sets into canopies, and links inside a canopy are
+exact (``canopies``); ``tests/llm/test_like_documents.py`` compares crowds with all
+their pairs.
 Links become components. Copies (equal sets) are one node throughout, however
 many rows they are.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loggrove.llm.canopies import forest_pairs, linked_components
+from loggrove.llm.canopies import canopies_of, least_share, linked_components
 from loggrove.llm.common import slices, whole_text, written
 from loggrove.llm.shingles import MinHasher, Shingler, set_digest
 
@@ -59,7 +59,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 80, who
     signed = written(signed_sets(texts, shingle_words, trees * depth), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     sets = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "distinct", release=True)
-    components = linked_components(texts, sets, forest_pairs(sets, trees, depth, reach), shingle_words, part, whole, trees * depth)
+    canopies = canopies_of(sets, trees, depth, reach, least_share(part, whole, trees * depth))
+    components = linked_components(texts, sets, canopies, shingle_words, part, whole, trees * depth)
     classes = sets.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "digest").join(classes.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

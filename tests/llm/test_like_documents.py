@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 
-from loggrove.llm import canopies
-from loggrove.llm.fingerprints import fingerprint_table
+from loggrove.llm import canopies, fingerprints
+from loggrove.llm.fingerprints import Fingerprinter, fingerprint_table
 from loggrove.llm.near_duplicates import near_duplicates
 from tests.llm.conftest import words
 from tests.llm.test_duplicates import brute_classes, edited
@@ -117,3 +117,24 @@ def test_a_stray_meets_smaller_and_larger_sets_of_the_largest_component(spark, m
     texts = [(k, " ".join(t)) for k, t in texts]
     want, _ = brute_classes(texts, 4)
     assert {x.doc_id: x.component_id for x in near_duplicates(make_docs(texts), shingle_words=4).collect()} == want
+
+
+def test_links_of_a_band_are_found_whatever_stands_between_them(spark, make_docs, monkeypatch):
+    # two bands of a crowd that shares a passage: unlike texts stand between like ones
+    monkeypatch.setattr(fingerprints, "BANDS", 2)
+    monkeypatch.setattr(canopies, "CROWD", 20, raising=False)
+    shared = words(200, 1)
+    texts = []
+    for k in range(300):
+        own = words(70, 50 + k)
+        texts.append((2 * k, " ".join(shared + own)))
+        if k % 3 == 0:
+            texts.append((2 * k + 1, " ".join(shared + own[:45] + words(25, 5000 + k))))
+    make = Fingerprinter()
+    sets = make.shingler.sets([t.encode() for _, t in texts])
+    bands = make.of_sets(sets)[:, :8].reshape(-1, 2, 4)
+    near = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8
+    want = [(texts[k][0], texts[k + 1][0]) for k in range(len(texts) - 1) if texts[k + 1][0] % 2 and near(k, k + 1) and (bands[k] == bands[k + 1]).all(axis=1).any()]
+    got = {x.doc_id: x.class_id for x in fingerprint_table(make_docs(texts)).collect()}
+    assert len(want) > 40
+    assert [p for p in want if got[p[0]] != got[p[1]]] == []
