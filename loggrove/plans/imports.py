@@ -148,6 +148,18 @@ def ready_sets(files: DataFrame, matches: DataFrame, need: tuple[str, ...]) -> t
     return own.join(full, "match_id", "left_semi"), own.join(full, "match_id", "left_anti")
 
 
+def kept_in(root: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Stores a frame under ``root``/work, in place of what has its name there, and
+    gives the rows as stored: plans that use them are short, and Spark knows
+    their size. A name must not be stored again while it is read."""
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{root}/work/{name}")
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{root}/work/{name}")
+
+    return kept
+
+
 def redo_matches(spark: SparkSession, root: str, files: DataFrame, raw: Raw) -> None:
     """The tables of whole matches: the rows of all their ``files`` are replaced,
     those of a system log that another one has followed too."""
@@ -155,15 +167,16 @@ def redo_matches(spark: SparkSession, root: str, files: DataFrame, raw: Raw) ->
     _store_tables(spark, root, files, raw, stored(root, "records").read(spark, names))
 
 
-def match_tables(files: DataFrame, drive_map: DataFrame, rio_map: DataFrame, vision_map: DataFrame, prefixes: Prefixes, year: str | None = None, open_end: str = "drop") -> Raw:
+def match_tables(files: DataFrame, drive_map: DataFrame, rio_map: DataFrame, vision_map: DataFrame, prefixes: Prefixes, year: str | None = None, open_end: str = "drop", root: str | None = None) -> Raw:
     """Makes raw tables of the records of whole matches, told apart by ``files``
-    (filename, path, kind)."""
+    (filename, path, kind). With ``root`` what all tables need of a match is stored there."""
+    kept = {} if root is None else {"kept": kept_in(root)}
 
     def raw(records: DataFrame) -> dict[str, DataFrame]:
         kind = files.select(F.col("filename").alias("own_filename"), "kind")
         typed = records.join(kind, F.col("filename") == F.col("own_filename")).drop("own_filename")
         of = lambda k: typed.where(F.col("kind") == k).drop("kind")
-        return match_raw(of("system"), of("drive"), of("rio"), files, drive_map, rio_map, vision_map, prefixes, year, open_end)
+        return match_raw(of("system"), of("drive"), of("rio"), files, drive_map, rio_map, vision_map, prefixes, year, open_end, **kept)
 
     return raw
 
@@ -189,7 +202,7 @@ def import_matches(spark: SparkSession, path: str, root: str, drive_map: DataFra
         # the files of the matches of one batch
         ready, waiting = (session.createDataFrame(f.collect(), f.schema) for f in (ready, waiting))
         if not ready.isEmpty():
-            redo_matches(session, root, ready, match_tables(ready, drive_map, rio_map, vision_map, prefixes, year, open_end))
+            redo_matches(session, root, ready, match_tables(ready, drive_map, rio_map, vision_map, prefixes, year, open_end, root))
         others = known.where("kind is null or match_id is null")
         return {k: f for k, f in (("imported", ready), ("waiting", waiting), ("unmatched", others)) if not f.isEmpty()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +71,22 @@ def ingest_system(records: DataFrame, device_map: DataFrame, vision_map: DataFra
     return _whole(system_raw(records, device_map, vision_map, prefixes, year, open_end))
 
 
-def match_raw(system: DataFrame, drive: DataFrame, rio: DataFrame, files: DataFrame, drive_map: DataFrame, rio_map: DataFrame, vision_map: DataFrame, prefixes: Prefixes, year: str | None = None, open_end: str = "drop") -> dict[str, DataFrame]:
+def match_raw(system: DataFrame, drive: DataFrame, rio: DataFrame, files: DataFrame, drive_map: DataFrame, rio_map: DataFrame, vision_map: DataFrame, prefixes: Prefixes, year: str | None = None, open_end: str = "drop", kept: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame) -> dict[str, DataFrame]:
     """Matches of a system log and device logs to metadata, raw rows and
     preferences. ``files`` (path) tells which files belong together; the system log's period
     trims them all and its metadata is theirs. Of several system logs of a match the
     one with the last name counts. System metrics are not used; preferences are not
-    trimmed."""
+    trimmed. ``kept`` may store what all tables need of a match (its files, metadata
+    and period, a few rows each), so that they are not made anew for each."""
     sets = match_file_sets(files).withColumn("system", F.slice("system", -1, 1))
+    sets = kept(sets, "sets")
     of_file = sets.select("match_id", F.explode(F.concat("system", "drive", "rio")).alias("path")).select(F.col("match_id").alias("file_match"), last_segment(F.col("path")).alias("filename"))
     leading = sets.select(F.col("match_id").alias("file_match"), last_segment(F.col("system")[0]).alias("filename"))
     system = system.join(leading, "filename")
     routed = route(system, prefixes)
     own = session_metadata(routed["metadata"], routed["match_info"], session="file_match")
-    metadata = of_file.join(own, "file_match", "left").drop("file_match")
-    period = match_period(system, ["file_match"])
+    metadata = kept(of_file.join(own, "file_match", "left").drop("file_match"), "metadata")
+    period = kept(match_period(system, ["file_match"]), "period")
     keyed = lambda f: with_match_keys(f, metadata, year)
     inside = lambda f, m: map_entries(typed_values(trim(f, period, ["file_match"], open_end=open_end)), m)
     devices = inside(drive.join(of_file, "filename"), drive_map).unionByName(inside(rio.join(of_file, "filename"), rio_map))

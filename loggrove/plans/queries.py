@@ -293,11 +293,14 @@ def match_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = _table(spark, sf_dir, "events").select(name.alias("filename")).distinct()
     files = file_sets.classify_files(listed.select(F.concat(F.lit("/in/"), "filename").alias("path"), "filename", F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("bigint").alias("modified")))
     drive, rio = _map(spark, "DRIVE", {"click": "VOLTAGE", "view": "POSITION"}), _map(spark, "RIO", {"click": "POSITION", "view": "VOLTAGE"})
+    kept = imports.kept_in(root)
+    files = kept(files, "listed")
     for new in (files.where("kind <> 'rio'"), files.where("kind = 'rio'")):
         imports.stored(root, "records").replace(records.join(new.select("filename"), "filename", "left_semi"), new.select("filename"))
         imports.stored(root, "files").replace(new, new.select("filename"))
         ready, _ = imports.ready_sets(imports.read_table(spark, root, "files"), new, ("system",))
-        imports.redo_matches(spark, root, ready, imports.match_tables(ready, drive, rio, spark.createDataFrame([], schemas.VISION_MAP), SEASON, "2025"))
+        ready = kept(ready, "ready")
+        imports.redo_matches(spark, root, ready, imports.match_tables(ready, drive, rio, spark.createDataFrame([], schemas.VISION_MAP), SEASON, "2025", root=root))
     return _rounded(imports.read_table(spark, root, "device_stats").select("filename", "event_year", "match_id", "subsystem", "component", *_SHOWN))
 
 

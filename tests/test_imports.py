@@ -277,6 +277,17 @@ def test_match_tables_need_no_more_than_files_and_records(spark, maps):  # noqa:
     assert sorted((r.filename, r.match_time) for r in raw["device_data_raw"].collect()) == [("rio_Q1_1.hoot", 500), ("rio_Q1_1.hoot", 1000)]
 
 
+def test_what_all_tables_need_of_a_match_is_stored_once(spark, tmp_path, maps):  # noqa: F811
+    device, vision = maps
+    files = spark.createDataFrame([("log_1.wpilog", "/in/log_1.wpilog", "system", "1")], "filename string, path string, kind string, match_id string")
+    records = long_frame(spark, "log_1.wpilog", SESSION)
+    lazy = match_tables(files, device, device, vision, PREFIXES, "2025")(records)
+    kept = match_tables(files, device, device, vision, PREFIXES, "2025", root=str(tmp_path))(records)
+    assert lazy["log_metadata"].count() == 1 and all(same(kept[t], lazy[t]) for t in lazy)
+    stored = {t: {p.split("/work/")[1].split("/")[0] for p in kept[t].inputFiles() if "/work/" in p} for t in kept}
+    assert stored["log_metadata"] == {"metadata"} and stored["device_data_raw"] == {"sets", "metadata", "period"}
+
+
 def test_ledger_helpers(spark):
     rows = spark.createDataFrame([("a", "h", 1), ("a", "k", 1), ("b", "h", 3)], "filename string, file_hash string, modified long")
     assert sorted(map(tuple, ledger.newest_versions(rows).collect())) == [("a", "k", 1), ("b", "h", 3)]
