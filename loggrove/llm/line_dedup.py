@@ -13,7 +13,7 @@ its copy. There the chunk's text is read, with the lines up to the chunks beside
 it. The others compare it with their own byte by byte (white space around lines
 does not count), and go on line by line in both directions, so that a passage
 goes from its first to its last whole line. Within a document a chunk that has
-occurred before, byte by byte, goes too. What is cut are runs of such lines that
+occurred before, byte by byte, goes too, with the lines beside it in the same way. What is cut are runs of such lines that
 have at least ``least_chars`` characters. A passage escapes if no chunk lies
 inside it (one of eight lines in 1 of 200 cases, of ten in 1 of 2000).
 
@@ -107,9 +107,10 @@ def with_chunks(texts: DataFrame, line_hashes: Column) -> DataFrame:
     return step.drop("line_hashes", "rolling")
 
 
-def _body(first: Column, last: Column) -> Column:
+def _body(first: Column, last: Column, lines: str = "bare") -> Column:
     """The bytes that are compared: lines without the white space around them."""
-    return F.array_join(F.slice("bare", first + 1, last - first + 1), "\n")
+    part = F.slice(lines, first + 1, last - first + 1)
+    return F.array_join(part if lines == "bare" else F.transform(part, _bare_line), "\n")
 
 
 def repeated_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -146,6 +147,9 @@ def kept_chunks(texts: DataFrame, keepers: DataFrame) -> DataFrame:
         k = c["k"]
         first, last = F.get("starts", k), F.get("ends", k)
         before, behind = F.coalesce(F.get("starts", k - 1), first) + 1, F.coalesce(F.get("ends", k + 1), F.col("total")) - 1
+        # at the ends of this text chunks begin and end that elsewhere need not
+        before = F.when(k == 1, F.get("starts", k - 1)).otherwise(before)
+        behind = F.when(F.get("ends", k + 1) == F.col("total") - 1, F.col("total") - 1).otherwise(behind)
         left = F.reverse(F.slice("bare", before + 1, F.greatest(first - before, F.lit(0))))
         right = F.slice("bare", last + 2, F.greatest(behind - last, F.lit(0)))
         return F.when(k >= 0, F.struct(c["hash"].alias("hash"), F.struct(_body(first, last).alias("body"), left.alias("left"), right.alias("right")).alias("known")))
@@ -186,7 +190,7 @@ def removable(texts: DataFrame) -> DataFrame:
 
 def _matches(expected: Column, at) -> Column:
     """How many of the expected lines stand at the lines ``at(k)``, from the first on."""
-    step = lambda a, x: F.when(a["on"] & (F.get("bare", at(a["n"])) == x), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on")))
+    step = lambda a, x: F.when(a["on"] & (_bare_line(F.get("lines", at(a["n"]))) == x), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on")))
     return F.when(F.size(expected) == 0, F.lit(0)).otherwise(F.aggregate(expected, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step, lambda a: a["n"]))
 
 
@@ -201,13 +205,13 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     step = rows.join(marks.hint("shuffle_hash"), rows.doc_id == marks.own_id, "left")
     # texts without a mark are not cut up again
     step = with_lines(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
-    step = step.withColumn("bare", F.transform("lines", _bare_line))
-    # where spots say nothing, chunks are made and looked up again
-    step = with_chunks(step, F.when(F.col("lookup"), F.transform("bare", lambda x: F.xxhash64(x))))
+    # where spots say nothing, chunks are made and looked up again; elsewhere only lines at spots are trimmed
+    step = with_chunks(step, F.when(F.col("lookup"), F.transform("lines", lambda x: F.xxhash64(_bare_line(x)))))
+
     def whole(x: Column, first: Column, last: Column) -> Column:
         """The lines of a chunk and those beside it that stand beside the kept copy too."""
         left, right = _matches(x["left"], lambda j: first - 1 - j), _matches(x["right"], lambda j: last + 1 + j)
-        return F.when(x["body"] == _body(first, last), F.struct((first - left).alias("first"), (last + right).alias("last")))
+        return F.when(x["body"] == _body(first, last, "lines"), F.struct((first - left).alias("first"), (last + right).alias("last")))
 
     def at_spot(x: Column) -> Column:
         first = F.shiftright(x["spot"], 3)
@@ -231,8 +235,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
             first, last = F.get("starts", at), F.get("ends", at)
             # the head is a kept copy, or the first chunk of the text; behind a kept copy the first is the next
             earlier = F.when(lead >= 0, lead).otherwise(F.get("order", head + 1)["k"])
-            again = (earlier < at) & (earlier >= 0) & (_body(F.get("starts", earlier), F.get("ends", earlier)) == _body(first, last))
-            place = F.coalesce(F.when(lead < 0, whole(F.get("gone", -1 - lead), first, last)), F.when(again, F.struct(first.alias("first"), last.alias("last"))))
+            own, end = F.get("starts", earlier), F.get("ends", earlier)
+            again = (earlier < at) & (earlier >= 0) & (_body(own, end, "lines") == _body(first, last, "lines"))
+            # lines beside the earlier one, up to the chunks beside it
+            before, behind = F.coalesce(F.get("starts", earlier - 1), own), F.coalesce(F.get("ends", earlier + 1), F.size("lines") - 1)
+            left = F.transform(F.reverse(F.slice("lines", before + 1, F.greatest(own - before, F.lit(0)))), _bare_line)
+            right = F.transform(F.slice("lines", end + 2, F.greatest(behind - end, F.lit(0))), _bare_line)
+            repeat = F.struct((first - _matches(left, lambda j: first - 1 - j)).alias("first"), (last + _matches(right, lambda j: last + 1 + j)).alias("last"))
+            place = F.coalesce(F.when(lead < 0, whole(F.get("gone", -1 - lead), first, last)), F.when(again, repeat))
             return F.when((at >= 0) & place.isNotNull(), F.struct(at.alias("k"), place["first"].alias("first"), place["last"].alias("last")))
 
         return F.filter(F.transform(block, found), lambda x: x.isNotNull())
@@ -240,7 +250,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     looked_up = F.sort_array(F.flatten(F.filter(F.transform("heads", group), lambda g: g.isNotNull())))
     at_spots = F.filter(F.transform("gone", at_spot), lambda x: x.isNotNull())
     at_spots = F.transform(at_spots, lambda x: F.struct(F.lit(0).alias("k"), x["first"].alias("first"), x["last"].alias("last")))
-    step = step.withColumn("out", F.when(F.size("bare") >= 0, F.when(F.size("heads") >= 0, looked_up).otherwise(at_spots)))
+    step = step.withColumn("out", F.when(F.size("lines") >= 0, F.when(F.size("heads") >= 0, looked_up).otherwise(at_spots)))
     # neither first nor last lines ever fall: lines beside a chunk end where the next chunk would
     begins = lambda k: (k == 0) | (F.get("out", k)["first"] > F.get("out", k - 1)["last"] + 1)
     step = step.withColumn("places", F.when(F.size("out") > 0, F.filter(F.sequence(F.lit(0), F.size("out") - 1), begins)))
