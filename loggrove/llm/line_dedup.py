@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from loggrove.llm.common import written
 
-#: Lines end behind these; a blank is by far the most frequent white space.
-LINE_ENDS = ("\n", ". ", "! ", "? ", ", ", "; ", ": ", "| ")
+#: Lines end behind these; a blank is by far the most frequent white space. One
+#: class stands first, so that most characters are passed over at once.
+LINE_ENDS = r"[\n.!?,;:|](?:(?<=\n)| )"
 #: The same and all other white space, as a pattern.
 LINE_END_PATTERN = r"(?<=\n)|(?<=[.!?,;:|]\s)"
 OTHER_SPACES = ("\t", "\r", "\x0b", "\x0c")
@@ -54,13 +55,11 @@ def with_lines(texts: DataFrame, column: str = "text") -> DataFrame:
     """Adds the lines of the text in ``column``, and whether it has white space
     other than blanks and line feeds (``odd``).
 
-    Literal replacements and a split at one character take a fraction of the time
-    of the pattern, which cuts texts with other white space or with the mark
-    itself."""
+    Marks behind the line ends and a split at one character take less time than
+    a split at the pattern, which cuts texts with other white space or with the
+    mark itself."""
     text = F.col(column)
-    marked = text
-    for end in LINE_ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = F.regexp_replace(text, LINE_ENDS, "$0" + MARK)
     odd = F.contains(text, F.lit(MARK))
     for space in OTHER_SPACES:
         odd = odd | F.contains(text, F.lit(space))
@@ -188,10 +187,17 @@ def removable(texts: DataFrame) -> DataFrame:
     return written(marks.groupBy(F.col("doc_id").alias("own_id")).agg(F.sort_array(F.collect_list("chunk")).alias("gone"), F.max("lookup").alias("lookup")), "removable", release=True)
 
 
-def _matches(expected: Column, at) -> Column:
-    """How many of the expected lines stand at the lines ``at(k)``, from the first on."""
-    step = lambda a, x: F.when(a["on"] & (_bare_line(F.get("lines", at(a["n"]))) == x), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on")))
-    return F.when(F.size(expected) == 0, F.lit(0)).otherwise(F.aggregate(expected, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step, lambda a: a["n"]))
+def _once(value: Column, use) -> Column:
+    """``use(value)``; inside a lambda Spark computes what is named several times
+    each time, unless it is the variable of another lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _matches(expected: Column, line) -> Column:
+    """How many of the expected lines are the lines ``line(k)``, from the first on."""
+    step = lambda a, x: F.when(a["on"] & (x == line(a["n"])), F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("on")))
+    several = F.aggregate(expected, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step, lambda a: a["n"])
+    return F.when(F.get(expected, F.lit(0)) == line(F.lit(0)), F.when(F.size(expected) == 1, F.lit(1)).otherwise(several)).otherwise(F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,16 +212,20 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     # texts without a mark are not cut up again
     step = with_lines(step.withColumn("marked", F.when(F.col("own_id").isNotNull(), F.col("text"))), "marked")
     # where spots say nothing, chunks are made and looked up again; elsewhere only lines at spots are trimmed
-    step = with_chunks(step, F.when(F.col("lookup"), F.transform("lines", lambda x: F.xxhash64(_bare_line(x)))))
+    step = step.withColumn("bare", F.when(F.col("lookup"), F.transform("lines", _bare_line)))
+    step = with_chunks(step, F.transform("bare", lambda x: F.xxhash64(x)))
 
-    def whole(x: Column, first: Column, last: Column) -> Column:
-        """The lines of a chunk and those beside it that stand beside the kept copy too."""
-        left, right = _matches(x["left"], lambda j: first - 1 - j), _matches(x["right"], lambda j: last + 1 + j)
-        return F.when(x["body"] == _body(first, last, "lines"), F.struct((first - left).alias("first"), (last + right).alias("last")))
+    def stretched(k: Column, first: Column, last: Column, left: Column, right: Column, line) -> Column:
+        """A chunk's place with the lines beside it that are as in ``left`` and ``right``."""
+        before, behind = _matches(left, lambda j: line(first - 1 - j)), _matches(right, lambda j: line(last + 1 + j))
+        return F.struct(k.alias("k"), (first - before).alias("first"), (last + behind).alias("last"))
 
     def at_spot(x: Column) -> Column:
+        """The lines of a chunk and those beside it that stand beside the kept copy too."""
         first = F.shiftright(x["spot"], 3)
-        return whole(x, first, first + x["spot"].bitwiseAND(F.lit(7)))
+        last = first + x["spot"].bitwiseAND(F.lit(7))
+        same = x["body"] == _body(first, last, "lines")
+        return F.when(same, stretched(F.lit(0), first, last, x["left"], x["right"], lambda j: _bare_line(F.get("lines", j))))
 
     # where spots say nothing: a negative k tells the place in gone
     kept = F.transform("gone", lambda x, i: F.struct(x["hash"].alias("hash"), (-1 - i).alias("k")))
@@ -223,33 +233,37 @@ def dedup_lines(docs: DataFrame, least_chars: int = 60, id_column: str = "doc_id
     hash_at = lambda i: F.get("order", i)["hash"]
     heads = F.filter(F.sequence(F.lit(0), F.size("order") - 1), lambda i: (i == 0) | (hash_at(i) != hash_at(i - 1)))
     step = step.withColumn("heads", F.when(F.size("order") > 0, heads))
+    bare = lambda j: F.get("bare", j)
 
     def group(head: Column, n: Column) -> Column:
         """Chunks of one hash: those that stand as in the kept copy, and those that
         the text has further up."""
         size = F.coalesce(F.get("heads", n + 1), F.size("order")) - head
-        block = F.when(size > 1, F.slice("order", head + 1, size))
-
-        def found(x: Column) -> Column:
-            at, lead = x["k"], F.get("order", head)["k"]
+        lead = F.get("order", head)["k"]
+        # the head is a kept copy, or the first chunk of the text; behind a kept copy the first is the next
+        earlier = F.when(lead >= 0, lead).otherwise(F.get("order", head + 1)["k"])
+
+        def model(k: Column) -> Column:
+            """The kept copy, if any, and the earlier chunk with the lines up to the chunks beside it."""
+            own, end = F.get("starts", k), F.get("ends", k)
+            before, behind = F.coalesce(F.get("starts", k - 1), own), F.coalesce(F.get("ends", k + 1), F.size("lines") - 1)
+            left = F.reverse(F.slice("bare", before + 1, F.greatest(own - before, F.lit(0))))
+            right = F.slice("bare", end + 2, F.greatest(behind - end, F.lit(0)))
+            known = F.when(lead < 0, F.get("gone", -1 - lead))
+            return F.struct(k.alias("k"), F.slice("bare", own + 1, end - own + 1).alias("lines"), left.alias("left"), right.alias("right"), known.alias("known"))
+
+        def found(x: Column, m: Column) -> Column:
+            at = x["k"]
             first, last = F.get("starts", at), F.get("ends", at)
-            # the head is a kept copy, or the first chunk of the text; behind a kept copy the first is the next
-            earlier = F.when(lead >= 0, lead).otherwise(F.get("order", head + 1)["k"])
-            own, end = F.get("starts", earlier), F.get("ends", earlier)
-            again = (earlier < at) & (earlier >= 0) & (_body(own, end, "lines") == _body(first, last, "lines"))
-            # lines beside the earlier one, up to the chunks beside it
-            before, behind = F.coalesce(F.get("starts", earlier - 1), own), F.coalesce(F.get("ends", earlier + 1), F.size("lines") - 1)
-            left = F.transform(F.reverse(F.slice("lines", before + 1, F.greatest(own - before, F.lit(0)))), _bare_line)
-            right = F.transform(F.slice("lines", end + 2, F.greatest(behind - end, F.lit(0))), _bare_line)
-            repeat = F.struct((first - _matches(left, lambda j: first - 1 - j)).alias("first"), (last + _matches(right, lambda j: last + 1 + j)).alias("last"))
-            place = F.coalesce(F.when(lead < 0, whole(F.get("gone", -1 - lead), first, last)), F.when(again, repeat))
-            return F.when((at >= 0) & place.isNotNull(), F.struct(at.alias("k"), place["first"].alias("first"), place["last"].alias("last")))
-
-        return F.filter(F.transform(block, found), lambda x: x.isNotNull())
+            whole = F.when(m["known"]["body"] == _body(first, last), stretched(at, first, last, m["known"]["left"], m["known"]["right"], bare))
+            again = (m["k"] < at) & (m["k"] >= 0) & (m["lines"] == F.slice("bare", first + 1, last - first + 1))
+            return F.when(at >= 0, F.coalesce(whole, F.when(again, stretched(at, first, last, m["left"], m["right"], bare))))
+
+        places = lambda m: F.filter(F.transform(F.slice("order", head + 1, size), lambda x: found(x, m)), lambda x: x.isNotNull())
+        return F.when(size > 1, _once(_once(earlier, model), places))
 
     looked_up = F.sort_array(F.flatten(F.filter(F.transform("heads", group), lambda g: g.isNotNull())))
     at_spots = F.filter(F.transform("gone", at_spot), lambda x: x.isNotNull())
-    at_spots = F.transform(at_spots, lambda x: F.struct(F.lit(0).alias("k"), x["first"].alias("first"), x["last"].alias("last")))
     step = step.withColumn("out", F.when(F.size("lines") >= 0, F.when(F.size("heads") >= 0, looked_up).otherwise(at_spots)))
     # neither first nor last lines ever fall: lines beside a chunk end where the next chunk would
     begins = lambda k: (k == 0) | (F.get("out", k)["first"] > F.get("out", k - 1)["last"] + 1)

@@ -49,3 +49,12 @@ def test_a_very_long_text_that_repeats_itself_and_another_is_cut_in_one_go(spark
     texts = [(1, "".join(lines[20_000:50_000])), (2, "".join(lines + lines[:100]))]
     got = {r.doc_id: r.new_text for r in dedup_lines(make_docs(texts)).collect()}
     assert got == {1: texts[0][1], 2: "".join(lines[:20_000] + lines[50_000:])}
+
+
+def test_a_chunk_of_a_text_that_repeats_itself_is_compared_once(spark, make_docs):
+    # each comparison stands once in the plan: what a lambda names thrice, Spark computes thrice for each chunk
+    passage = "Xa. " + prose(50, 9, [". ", ", "]).strip() + ". "
+    found = dedup_lines(make_docs([(1, passage), (2, passage + "F. " + passage + "G.")]))
+    assert {r.doc_id: r.new_text for r in found.collect()} == {1: passage, 2: "F. G."}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 2 * 3 + 1  # two directions: at spots, beside a kept copy, beside an earlier chunk; lines removed
